@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, private
+from quern.llm.common import cut, digest, drop_copies, private
 
 _ID, _DIGEST, _I, _N, _BLOCK, _NAME, _A, _B = map(private, ("id", "digest", "i", "n", "block", "name", "a", "b"))
 _KEY = [_ID, _DIGEST]
@@ -42,7 +42,7 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
     digest only tells apart rows that repeat a doc_id; rows counts those that repeat both.
     """
     whole = docs.filter(F.col(text).isNotNull()).select(
-        F.col(doc_id).alias(_ID), F.xxhash64(text).alias(_DIGEST), F.col(text).alias(_BLOCK), F.greatest(F.lit(1), F.ceil(F.length(text) / block)).cast("int").alias(_N)
+        F.col(doc_id).alias(_ID), digest(text).alias(_DIGEST), F.col(text).alias(_BLOCK), F.greatest(F.lit(1), F.ceil(F.length(text) / block)).cast("int").alias(_N)
     )
     # a text of one block is not touched by substring, so most rows cost nothing here
     parts = F.when(F.col(_N) == 1, F.array(F.col(_BLOCK))).otherwise(
@@ -90,15 +90,4 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: i
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """docs without copies: of each group of equal texts one row stays. Rows with a null text stay."""
-    found = cut(_grouped(docs, doc_id, text, block).filter((F.col("nth") > 1) | (F.col("rows") > 1)).select("id", "digest", F.col("nth").alias("nth"), "rows"))
-    d, drop = docs.withColumn(_DIGEST, F.xxhash64(text)).alias("d"), found.filter(F.col("nth") > 1).alias("x")
-    match = lambda x: F.col(f"d.{doc_id}").eqNullSafe(F.col(f"{x}.id")) & (F.col(f"d.{_DIGEST}") == F.col(f"{x}.digest")) & F.col(f"d.{text}").isNotNull()
-    left = d.join(drop, match("x"), "left_anti")
-    twice = found.filter((F.col("nth") == 1) & (F.col("rows") > 1))
-    if not twice.isEmpty():
-        left = left.alias("d")
-        y = twice.alias("y")
-        again = left.join(y, match("y"), "left_semi")
-        once = again.withColumn(private("nth"), F.row_number().over(Window.partitionBy(doc_id, _DIGEST).orderBy(doc_id))).filter(F.col(private("nth")) == 1)
-        left = left.join(y, match("y"), "left_anti").unionByName(once.drop(private("nth")))
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return drop_copies(docs, _grouped(docs, doc_id, text, block), doc_id, text)

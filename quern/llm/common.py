@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -52,3 +52,57 @@ def md5_key(seed: str, *cols: Column) -> Column:
 def private(name: str) -> str:
     """Name of a working column, unlikely to clash with an input's own."""
     return f"__quern_{name}"
+
+
+def digest(text: str) -> Column:
+    """Hash of a text by which rows that repeat a doc_id are told apart."""
+    return F.xxhash64(F.col(text))
+
+
+#: Rows to drop up to which their ids are broadcast; beyond, the join shuffles.
+BROADCAST_DROPS = 1_000_000
+
+
+def drop_copies(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs without the documents of found, (id, digest, nth, rows), that aren't first in their group (nth > 1).
+
+    Of a first document that several equal rows hold, one row stays.
+    """
+    found = cut(found.filter((F.col("nth") > 1) | (F.col("rows") > 1)).select("id", "digest", "nth", "rows"))
+    drop, twice = found.filter(F.col("nth") > 1), found.filter((F.col("nth") == 1) & (F.col("rows") > 1))
+    drop = F.broadcast(drop) if drop.count() <= BROADCAST_DROPS else drop
+    hashed, nth = private("digest"), private("nth")
+    left = docs.withColumn(hashed, digest(text)).alias("d")
+
+    def match(other: str) -> Column:
+        return F.col(f"d.`{doc_id}`").eqNullSafe(F.col(f"{other}.id")) & (F.col(f"d.{hashed}") == F.col(f"{other}.digest")) & F.col(f"d.`{text}`").isNotNull()
+
+    left = left.join(drop.alias("x"), match("x"), "left_anti")
+    if not twice.isEmpty():
+        left = left.alias("d")
+        once = left.join(twice.alias("y"), match("y"), "left_semi")
+        once = once.withColumn(nth, F.row_number().over(Window.partitionBy(doc_id, hashed).orderBy(doc_id))).filter(F.col(nth) == 1)
+        left = left.join(twice.alias("y"), match("y"), "left_anti").unionByName(once.drop(nth))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node in edges (a, b): component is the smallest node that it is connected with.
+
+    Alternating large and small stars (Kiveris et al., Connected Components in MapReduce and
+    Beyond): each round is a few aggregations and joins over the edges, and the rounds grow
+    with the logarithm of the longest chain.
+    """
+    now, before = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
+    while True:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
+        now = cut(small.select("e.a", "e.b").filter("a <> b").distinct())
+        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        if state == before:
+            break
+        before = state
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -23,6 +23,9 @@ SPELLINGS = {
     "honour": "honor", "merchantibility": "merchantability", "non commercial": "noncommercial", "whilst": "while", "wilful": "willful", "fulfil": "fulfill", "percent": "per cent", "http": "https",
 }
 
+#: A line that claims copyright.
+COPYRIGHT = r"(^|\n)[ \t]*(?:©|\(c\)|copyright[ \t:©(])[^\n]*"
+
 _WARRANTY = (
     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
     "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
@@ -76,17 +79,30 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 ]
 
 
+def _spelled(other: str, one: str):
+    """Replaces whole words other; a word's end stays to the next word, so that neighbours match too."""
+    return lambda x: F.when(F.contains(x, F.lit(other)), F.regexp_replace(x, rf"(^|[ \n]){other}(?:$|([ \n]))", f"$1{one}$2")).otherwise(x)
+
+
 def canonical(text: Column) -> Column:
     """text in canonical form; line breaks stay where lines are not blank."""
     t = F.lower(text)
-    t = F.regexp_replace(t, r"(^|\n)[ \t]*(?:©|\(c\)|copyright[ \t:©(])[^\n]*", "$1")
+    t = F.regexp_replace(t, COPYRIGHT, "$1")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " ")
     for other, one in SPELLINGS.items():
-        # a word's end stays to the next word, so that neighbours match too
-        t = F.when(F.contains(t, F.lit(other)), F.regexp_replace(t, rf"(^|[ \n]){other}(?:$|([ \n]))", f"$1{one}$2")).otherwise(t)
+        # bound by a lambda, so that the expression doesn't double with every spelling
+        t = F.element_at(F.transform(F.array(t), _spelled(other, one)), 1)
     return F.trim(F.regexp_replace(t, r" *\n[ \n]*", "\n"))
 
 
+def canonical_sql(text: str) -> str:
+    """canonical() as DuckDB SQL over an expression."""
+    t = f"regexp_replace(regexp_replace(lower({text}), '{COPYRIGHT}', '\\1', 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    for other, one in SPELLINGS.items():
+        t = f"regexp_replace({t}, '(^|[ \\n]){other}(?:$|([ \\n]))', '\\1{one}\\2', 'g')"
+    return f"trim(regexp_replace({t}, ' *\\n[ \\n]*', chr(10), 'g'))"
+
+
 def known_digests(df: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license) of the known texts, by the same canonical form."""
     rows = df.sparkSession.createDataFrame(known if known is not None else KNOWN, "license string, text string")

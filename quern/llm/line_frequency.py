@@ -1,78 +1,90 @@
 """Quality rules: cross-document line frequency.
 
-Lines are normalised (trimmed, lower case, runs of white space as one space) and hashed;
-for every host the distinct documents that hold a line are counted; a line above the limit
-is removed from all documents of the host but the first; a document of which too little is
-left is rejected.
+Lines are normalised (trimmed, lower case, runs of white space as one space) and hashed
+together with their host; for every host the distinct documents that hold a line are counted;
+a line above the limit is removed from all documents of the host but the first; a document of
+which too little is left is rejected.
+
+Only hashes are shuffled, never texts: lines above the limit are few, so their sorted hashes
+are broadcast (up to BROADCAST_LINES, some 32 MB) and looked up by binary search; beyond that
+they are joined by shuffle.
 
 Defined results: rows with a null or blank text, or whose removal leaves only blanks, are
-rejected. A null host is a host of its own. Copies of one text count as one document, so
-that exact duplication alone never makes a text's lines boilerplate. The first document is
-the one of the smallest (doc_id, text digest), so that what a host repeats is not lost from
-it altogether; copies of the first document count as first too. Blank lines stay. Other columns pass through unchanged, whatever their names;
-repeated rows are treated alike.
+rejected. A null host is a host of its own. Copies of one text count as one document, so that
+exact duplication alone never makes a text's lines boilerplate. The first document is the one
+of the smallest (doc_id, text digest), nulls last, so that what a host repeats is not lost
+from it altogether; copies of the first document count as first too. Blank lines stay. Other
+columns pass through unchanged, whatever their names; repeated rows are treated alike.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, private
+from quern.llm.common import cut, digest, private
 
-_HOST, _LINES, _HASHES, _DOC, _HASH, _N, _DROP, _FIRST = map(private, ("host", "lines", "hashes", "doc", "hash", "n", "drop", "first"))
+_KEYS, _DOC, _HASH, _N, _FIRST, _ID, _DROP = map(private, ("keys", "doc", "hash", "n", "first", "id", "drop"))
 
-#: Up to so many lines above the limit in all, they are broadcast by host; beyond, joined by shuffle.
-BROADCAST_LINES = 100_000
+#: Lines above the limit up to which they are broadcast; beyond, they are joined by shuffle.
+BROADCAST_LINES = 2_000_000
 
 
 def _normal(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, r"[\t\r ]+", " ")))
 
 
-def _prepared(docs: DataFrame, host: str, text: str) -> DataFrame:
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    return docs.withColumns(
-        {
-            _HOST: F.coalesce(F.col(host).cast("string"), F.lit("")),
-            _LINES: lines,
-            _DOC: F.xxhash64(F.col(text)),
-        }
-    ).withColumn(_HASHES, F.transform(F.col(_LINES), lambda x: F.when(F.trim(x) != "", F.xxhash64(_normal(x)))))
+def _keys(host: str, text: str) -> Column:
+    """For each line its hash, null for a blank one; the host's name, or that it is null, is part of it."""
+    named = F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit(""))
+    return F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.when(F.trim(x) != "", F.xxhash64(named, _normal(x))))
+
+
+def _held(docs: DataFrame, host: str, text: str, doc_id: str) -> DataFrame:
+    """(id, doc, hash): the lines of every document, once each."""
+    some = docs.filter(F.col(text).isNotNull())
+    return some.select(F.col(doc_id).alias(_ID), digest(text).alias(_DOC), F.explode(F.array_distinct(F.array_compact(_keys(host, text)))).alias(_HASH))
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", max_docs: int = 100) -> DataFrame:
-    """(host, hash, n, first): the lines that more than max_docs distinct documents of a host hold.
+def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", max_docs: int = 10) -> DataFrame:
+    """(hash, n, first): the lines that more than max_docs distinct documents of a host hold, and the digest of the first.
 
-    Two hash aggregations over 24 bytes a line; both combine on the map side, so a line that
-    every document holds sends one row a task.
+    One shuffle of 24 bytes a line, which combines on the map side, so a line that every
+    document holds doesn't gather anywhere until its documents are told apart.
     """
-    one = (
-        _prepared(docs, host, text)
-        .filter(F.col(text).isNotNull())
-        .select(_HOST, _DOC, F.explode(F.array_distinct(F.filter(_HASHES, lambda h: h.isNotNull()))).alias(_HASH))
-    )
-    return (
-        one.groupBy(_HOST, _HASH, _DOC)
-        .agg(F.lit(1).alias(_N))
-        .groupBy(_HOST, _HASH)
-        .agg(F.count(F.lit(1)).alias(_N))
-        .filter(F.col(_N) > max_docs)
-    )
-
-
-def _firsts(docs: DataFrame, frequent: DataFrame, host: str, text: str, doc_id: str) -> DataFrame:
-    """frequent with the digest of the first document that holds each line."""
-    held = (
-        _prepared(docs, host, text)
-        .filter(F.col(text).isNotNull())
-        .select(F.col(doc_id).alias(private("id")), _HOST, _DOC, F.explode(F.array_distinct(F.filter(_HASHES, lambda h: h.isNotNull()))).alias(_HASH))
-    )
-    return (
-        held.join(frequent, [_HOST, _HASH])
-        .groupBy(_HOST, _HASH)
-        .agg(F.min(F.struct(F.col(private("id")).isNull(), private("id"), _DOC))[_DOC].alias(_FIRST))
-    )
+    one = _held(docs, host, text, doc_id).groupBy(_HASH, _DOC).agg(F.min(F.struct(F.col(_ID).isNull(), _ID, _DOC)).alias(_FIRST))
+    return one.groupBy(_HASH).agg(F.count(F.lit(1)).alias(_N), F.min(_FIRST)[_DOC].alias(_FIRST)).filter(F.col(_N) > max_docs)
+
+
+def _strip(text: str, drop: list[bool], min_kept: float) -> str | None:
+    """text without the lines to drop; None where too little is left."""
+    lines = text.split("\n")
+    kept = [line for line, away in zip(lines, drop) if not away]
+    left, total = (sum(len(line.strip(" ")) for line in some) for some in (kept, lines))
+    return "\n".join(kept) if left and left >= total * min_kept else None
+
+
+def _stripped(texts: pa.Array, keys: pa.Array, hits: np.ndarray, min_kept: float) -> pa.Array:
+    """texts without their lines that hits marks among all the lines' keys; null for rejected documents."""
+    offsets = keys.offsets.to_numpy() - keys.offsets[0].as_py()
+    marked = np.add.reduceat(np.append(hits, False), offsets[:-1], dtype=np.int64) if len(texts) else []
+    out = []
+    for k, text in enumerate(texts.to_pylist()):
+        if text is None or not text.replace("\n", " ").strip(" "):
+            out.append(None)
+        elif marked[k] and offsets[k] < offsets[k + 1]:
+            out.append(_strip(text, hits[offsets[k] : offsets[k + 1]].tolist(), min_kept))
+        else:
+            out.append(text)
+    return pa.array(out, pa.string())
+
+
+def _flat(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All keys one after the other, and which are null."""
+    flat = keys.flatten()
+    return flat.fill_null(0).to_numpy(zero_copy_only=False), flat.is_null().to_numpy(zero_copy_only=False)
 
 
 def clean(
@@ -80,7 +92,7 @@ def clean(
     host: str = "source",
     text: str = "text",
     doc_id: str = "doc_id",
-    max_docs: int = 100,
+    max_docs: int = 10,
     min_kept: float = 0.1,
     broadcast_lines: int = BROADCAST_LINES,
 ) -> DataFrame:
@@ -88,42 +100,40 @@ def clean(
 
     A document is depleted where fewer than min_kept of its non-blank lines' characters stay.
     """
-    columns = docs.columns
-    frequent = cut(frequent_lines(docs, host, text, max_docs))
-    frequent = cut(_firsts(docs, frequent, host, text, doc_id))
-    entry = F.struct(_HASH, _FIRST)
-    prepared = _prepared(docs, host, text)
+    frequent = cut(frequent_lines(docs, host, text, doc_id, max_docs).select(_HASH, _FIRST))
+    marked = docs.withColumns({_KEYS: _keys(host, text), _DOC: digest(text)})
     if frequent.count() <= broadcast_lines:
-        by_host = frequent.groupBy(_HOST).agg(F.collect_list(entry).alias(_DROP))
-        marked = prepared.join(F.broadcast(by_host), _HOST, "left").withColumn(
-            _DROP,
-            F.transform(F.filter(_DROP, lambda e: e[_FIRST] != F.col(_DOC)), lambda e: e[_HASH]),
-        )
+        found = frequent.toArrow()
+        hashes, firsts = (found.column(c).to_numpy() for c in (_HASH, _FIRST))
+        order = np.argsort(hashes)
+        shared = docs.sparkSession.sparkContext.broadcast((hashes[order], firsts[order]))
+
+        @F.arrow_udf("string")
+        def strip(texts: pa.Array, keys: pa.Array, own: pa.Array) -> pa.Array:
+            known, first = shared.value
+            flat, null = _flat(keys)
+            hits = np.zeros(len(flat), bool)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                sizes = np.diff(keys.offsets.to_numpy())
+                hits = (known[at] == flat) & ~null & (first[at] != np.repeat(own.to_numpy(zero_copy_only=False), sizes))
+            return _stripped(texts, keys, hits, min_kept)
+
+        new = strip(F.col(text), F.col(_KEYS), F.col(_DOC))
     else:
-        key = private("key")
-        prepared = prepared.withColumn(key, F.struct(F.col(_HOST), F.col(doc_id), F.col(_DOC)))
-        hits = (
-            prepared.select(key, _HOST, _DOC, F.explode(F.array_distinct(_HASHES)).alias(_HASH))
-            .join(frequent, [_HOST, _HASH])
-            .filter(F.col(_FIRST) != F.col(_DOC))
-            .groupBy(key)
-            .agg(F.collect_set(_HASH).alias(_DROP))
-        )
-        a, b = prepared.alias("a"), hits.alias("b")
-        marked = a.join(b, F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")), "left").select("a.*", f"b.{_DROP}")
-    pairs = F.arrays_zip(_LINES, _HASHES)
-    kept = F.when(F.size(F.coalesce(_DROP, F.array().cast("array<bigint>"))) == 0, F.col(_LINES)).otherwise(
-        F.transform(
-            F.filter(pairs, lambda p: p[_HASHES].isNull() | ~F.array_contains(F.col(_DROP), F.coalesce(p[_HASHES], F.lit(0)))),
-            lambda p: p[_LINES],
-        )
-    )
-    weigh = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(F.trim(x)))
-    left, total = private("left"), private("total")
-    return (
-        marked.withColumn(private("kept"), kept)
-        .withColumns({left: weigh(F.col(private("kept"))), total: weigh(F.col(_LINES))})
-        .filter((F.col(left) > 0) & (F.col(left) >= F.col(total) * F.lit(float(min_kept))))
-        .withColumn(text, F.array_join(private("kept"), "\n"))
-        .select(*[F.col(f"`{c}`") for c in columns])
-    )
+        hits = _held(docs, host, text, doc_id).join(frequent, _HASH).filter(F.col(_FIRST) != F.col(_DOC)).groupBy(_ID, _DOC).agg(F.collect_set(_HASH).alias(_DROP))
+        a, b = marked.alias("a"), hits.alias("b")
+        marked = a.join(b, F.col(f"a.`{doc_id}`").eqNullSafe(F.col(f"b.{_ID}")) & (F.col(f"a.{_DOC}") == F.col(f"b.{_DOC}")), "left").select("a.*", f"b.{_DROP}")
+
+        @F.arrow_udf("string")
+        def strip_joined(texts: pa.Array, keys: pa.Array, drop: pa.Array) -> pa.Array:
+            flat, null = _flat(keys)
+            offsets, hits = keys.offsets.to_numpy() - keys.offsets[0].as_py(), np.zeros(len(flat), bool)
+            for k, some in enumerate(drop.to_pylist()):
+                if some:
+                    hits[offsets[k] : offsets[k + 1]] = np.isin(flat[offsets[k] : offsets[k + 1]], some) & ~null[offsets[k] : offsets[k + 1]]
+            return _stripped(texts, keys, hits, min_kept)
+
+        new = strip_joined(F.col(text), F.col(_KEYS), F.col(_DROP))
+    fresh = private("new")
+    return marked.withColumn(fresh, new).filter(F.col(fresh).isNotNull()).withColumn(text, F.col(fresh)).select(*[F.col(f"`{c}`") for c in docs.columns])
