@@ -1,0 +1 @@
+"""A Spark-native engine for relational, full-text, vector and hybrid queries."""
