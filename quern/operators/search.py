@@ -44,6 +44,10 @@ def query_terms(docs: DataFrame, query: str) -> Counter:
     return Counter(docs.sparkSession.range(1).select(bm25_tokens(F.lit(query)).alias("t")).first()["t"])
 
 
+def _equals(term: str):
+    return lambda x: x == term
+
+
 def bm25_search(docs: DataFrame, doc_id: str, text: str, query: str, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(doc_id, score) of the k best documents: any term counts, a repeated one repeatedly; ties by id.
 
@@ -56,7 +60,7 @@ def bm25_search(docs: DataFrame, doc_id: str, text: str, query: str, k: int = 10
     tokens = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(bm25_tokens(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
     wanted = F.array(*[F.lit(t) for t, _ in terms])
     counted = tokens.select("doc_id", F.size("tokens").alias("dl"), F.filter("tokens", lambda x: F.array_contains(wanted, x)).alias("hits"))
-    counted = counted.select("doc_id", "dl", *[F.size(F.filter("hits", lambda x, t=t: x == t)).alias(f"tf{i}") for i, (t, _) in enumerate(terms)])
+    counted = counted.select("doc_id", "dl", *[F.size(F.filter("hits", _equals(t))).alias(f"tf{i}") for i, (t, _) in enumerate(terms)])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
     parts = []
