@@ -10,7 +10,7 @@ are broadcast (up to BROADCAST_LINES, some 32 MB) and looked up by binary search
 they are joined by shuffle.
 
 Defined results: rows with a null or blank text, or whose removal leaves only blanks, are
-rejected. A null host is a host of its own. Copies of one text count as one document, so that
+rejected; blanks are spaces, tabs and line ends. A null host is a host of its own. Copies of one text count as one document, so that
 exact duplication alone never makes a text's lines boilerplate. The first document is the one
 of the smallest (doc_id, text digest), nulls last, so that what a host repeats is not lost
 from it altogether; copies of the first document count as first too. Blank lines stay. Other
@@ -31,6 +31,8 @@ _KEYS, _DOC, _HASH, _N, _FIRST, _ID, _DROP = map(private, ("keys", "doc", "hash"
 #: Lines above the limit up to which they are broadcast; beyond, they are joined by shuffle.
 BROADCAST_LINES = 2_000_000
 
+_BLANK = " \t\r"
+
 
 def _normal(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, r"[\t\r ]+", " ")))
@@ -39,7 +41,7 @@ def _normal(line: Column) -> Column:
 def _keys(host: str, text: str) -> Column:
     """For each line its hash, null for a blank one; the host's name, or that it is null, is part of it."""
     named = F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit(""))
-    return F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.when(F.trim(x) != "", F.xxhash64(named, _normal(x))))
+    return F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.when(_normal(x) != "", F.xxhash64(named, _normal(x))))
 
 
 def _held(docs: DataFrame, host: str, text: str, doc_id: str) -> DataFrame:
@@ -62,7 +64,7 @@ def _strip(text: str, drop: list[bool], min_kept: float) -> str | None:
     """text without the lines to drop; None where too little is left."""
     lines = text.split("\n")
     kept = [line for line, away in zip(lines, drop) if not away]
-    left, total = (sum(len(line.strip(" ")) for line in some) for some in (kept, lines))
+    left, total = (sum(len(line.strip(_BLANK)) for line in some) for some in (kept, lines))
     return "\n".join(kept) if left and left >= total * min_kept else None
 
 
@@ -72,7 +74,7 @@ def _stripped(texts: pa.Array, keys: pa.Array, hits: np.ndarray, min_kept: float
     marked = np.add.reduceat(np.append(hits, False), offsets[:-1], dtype=np.int64) if len(texts) else []
     out = []
     for k, text in enumerate(texts.to_pylist()):
-        if text is None or not text.replace("\n", " ").strip(" "):
+        if text is None or not text.strip(_BLANK + "\n"):
             out.append(None)
         elif marked[k] and offsets[k] < offsets[k + 1]:
             out.append(_strip(text, hits[offsets[k] : offsets[k + 1]].tolist(), min_kept))
