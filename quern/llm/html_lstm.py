@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import md5_key
+from quern.llm.common import bounded_batches, md5_key
 
 #: Pages that the labeller is trained on, at most.
 SAMPLE_PAGES = 384
@@ -298,6 +298,7 @@ def _labeller(weights: dict[str, np.ndarray]):
 def label(pages: DataFrame, weights: dict[str, np.ndarray] | None = None, page_id: str = "page_id", html: str = "html", sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """(page_id, block, path, content, score, text) of every block of every page; no shuffle."""
     weights = fit(pages, sample_pages, page_id, html) if weights is None else weights
+    bounded_batches(pages.sparkSession)
     light = pages.select(F.col(page_id).alias("page_id"), F.col(html).alias("html"))
     kind = light.schema["page_id"].dataType.simpleString()
     return light.mapInArrow(_labeller(weights), f"page_id {kind}, block int, path string, content boolean, score double, text string")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, digest, private
+from quern.llm.common import bounded_batches, cut, digest, private
 
 _KEYS, _DOC, _HASH, _N, _FIRST, _ID, _DROP = map(private, ("keys", "doc", "hash", "n", "first", "id", "drop"))
 
@@ -102,6 +102,7 @@ def clean(
 
     A document is depleted where fewer than min_kept of its non-blank lines' characters stay.
     """
+    bounded_batches(docs.sparkSession)
     frequent = cut(frequent_lines(docs, host, text, doc_id, max_docs).select(_HASH, _FIRST))
     marked = docs.withColumns({_KEYS: _keys(host, text), _DOC: digest(text)})
     if frequent.count() <= broadcast_lines:

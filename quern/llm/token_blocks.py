@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import bounded_batches
+
 BLOCK, HEAD = 128, 7
 #: Share of a block's values that its width holds.
 PERCENTILE = 0.9
@@ -148,6 +150,7 @@ def _encoder(path: str, percentile: float):
 
 def encode(docs: DataFrame, tokenizer_path: str = TOKENIZER, percentile: float = PERCENTILE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_blocks, block_starts, payload) of each row; no shuffle."""
+    bounded_batches(docs.sparkSession)
     light = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = light.schema["doc_id"].dataType.simpleString()
     return light.mapInArrow(_encoder(tokenizer_path, percentile), f"doc_id {kind}, n_tokens bigint, n_blocks int, block_starts array<int>, payload binary")
