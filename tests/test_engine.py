@@ -4,7 +4,8 @@ import pytest
 
 from quern.plans import Engine, UnsupportedStatement
 
-PAPERS = "INSERT INTO papers VALUES (1, 'Database internals', [1, 0, 0]), (2, 'Rust programming', [0, 1, 0]), (3, 'Database optimization with Rust', [0.7, 0.7, 0]), (4, 'Cooking recipes', [0, 0, 1])"
+NOTES = """INSERT INTO notes VALUES (1, 'Harbour plans', [1, 0, 0]), (2, 'Copper mining', [0, 1, 0]),
+    (3, 'Harbour works in copper', [0.6, 0.8, 0]), (4, 'Baked apples', [0, 0, 1])"""
 
 
 @pytest.fixture
@@ -17,57 +18,57 @@ def ask(engine):
     return lambda sql, *params: [tuple(r) for r in engine.sql(sql, params).collect()]
 
 
-def test_products(ask):
-    ask("CREATE TABLE products (id INT, name TEXT, price INT); CREATE INDEX idx_price ON products (price)")
-    ask("INSERT INTO products VALUES (1, 'Apple', 10), (2, 'Banana', 20), (3, 'Cherry', 30), (4, 'Date', 20), (5, 'Elderberry', 10)")
-    assert ask("SELECT COUNT(*) FROM products") == [(5,)]
-    assert ask("SELECT name FROM products ORDER BY id LIMIT 2 OFFSET 1") == [("Banana",), ("Cherry",)]
-    ask("UPDATE products SET price = 15 WHERE name = 'Apple'")
-    assert ask("SELECT price FROM products WHERE name = 'Apple'") == [(15,)]
-    assert ask("SELECT name FROM products WHERE price = 10") == [("Elderberry",)]
-    ask("DELETE FROM products WHERE price = 20")
-    assert ask("SELECT COUNT(*) FROM products") == [(3,)]
-    ask("INSERT INTO products VALUES (6, 'Apple', 20), (7, 'Banana', 30)")
-    assert ask("SELECT name, COUNT(*) AS count, SUM(price) AS total_price FROM products GROUP BY name ORDER BY name") == [("Apple", 2, 35), ("Banana", 1, 30), ("Cherry", 1, 30), ("Elderberry", 1, 10)]
-    assert ask("SELECT name, COUNT(*) AS c FROM products GROUP BY name HAVING COUNT(*) > 1") == [("Apple", 2)]
-    assert ask("SELECT name, price * 2 AS double_price, price + 5 AS price_plus_5 FROM products WHERE id = 1") == [("Apple", 30, 20)]
-    assert ask("DESCRIBE products") == [("id", "INT", "PRI", ""), ("name", "TEXT", "", ""), ("price", "INT", "", "BTREE")]
-    assert ask("SHOW TABLES") == [("products",)]
+def test_goods(ask):
+    ask("CREATE TABLE goods (no INT, label TEXT, cost INT); CREATE INDEX by_cost ON goods (cost)")
+    ask("INSERT INTO goods VALUES (1, 'Plum', 10), (2, 'Fig', 20), (3, 'Lime', 30), (4, 'Pear', 20), (5, 'Kiwi', 10)")
+    assert ask("SELECT COUNT(*) FROM goods") == [(5,)]
+    assert ask("SELECT label FROM goods ORDER BY no LIMIT 2 OFFSET 1") == [("Fig",), ("Lime",)]
+    ask("UPDATE goods SET cost = cost + 5 WHERE label = 'Plum'")
+    assert ask("SELECT cost FROM goods WHERE label = 'Plum'") == [(15,)]
+    assert ask("SELECT label FROM goods WHERE cost = 10") == [("Kiwi",)]
+    ask("DELETE FROM goods WHERE cost = 20")
+    assert ask("SELECT COUNT(*) FROM goods") == [(3,)]
+    ask("INSERT INTO goods VALUES (6, 'Plum', 20), (7, 'Fig', 30)")
+    assert ask("SELECT label, SUM(cost) AS s, COUNT(*) AS n FROM goods GROUP BY label ORDER BY label") == [("Fig", 30, 1), ("Kiwi", 10, 1), ("Lime", 30, 1), ("Plum", 35, 2)]
+    assert ask("SELECT label, COUNT(*) FROM goods GROUP BY label HAVING COUNT(*) > 1") == [("Plum", 2)]
+    assert ask("SELECT label, cost * 2 AS twice, cost + 5 AS more FROM goods WHERE no = 1") == [("Plum", 30, 20)]
+    assert ask("DESCRIBE goods") == [("no", "INT", "PRI", ""), ("label", "TEXT", "", ""), ("cost", "INT", "", "BTREE")]
+    assert ask("SHOW TABLES") == [("goods",)]
 
 
 def test_joins(ask):
-    ask("CREATE TABLE t1 (id INT, v1 TEXT); CREATE TABLE t2 (id INT, t1_id INT, v2 TEXT)")
-    ask("INSERT INTO t1 VALUES (1, 'A'), (2, 'B'); INSERT INTO t2 VALUES (100, 1, 'X'), (200, 1, 'Y'), (300, 3, 'Z')")
-    assert sorted(ask("SELECT t1.id, t1.v1, t2.v2 FROM t1 JOIN t2 ON t1.id = t2.t1_id")) == [(1, "A", "X"), (1, "A", "Y")]
-    assert (2, "B", None) in ask("SELECT t1.id, t1.v1, t2.v2 FROM t1 LEFT JOIN t2 ON t1.id = t2.t1_id")
+    ask("CREATE TABLE l (id INT, v TEXT); CREATE TABLE r (id INT, l_id INT, w TEXT)")
+    ask("INSERT INTO l VALUES (1, 'A'), (2, 'B'); INSERT INTO r VALUES (100, 1, 'X'), (200, 1, 'Y'), (300, 3, 'Z')")
+    assert sorted(ask("SELECT l.id, v, w FROM l JOIN r ON l.id = l_id")) == [(1, "A", "X"), (1, "A", "Y")]
+    assert (2, "B", None) in ask("SELECT l.id, v, w FROM l LEFT JOIN r ON l.id = l_id")
 
 
 def test_full_text(ask):
-    ask("CREATE TABLE articles (id INT, title TEXT, content TEXT)")
-    rows = ["Rust is a systems programming language and great for databases", "Python is great for scripting and AI", "Go is good for microservices", "Rust and Python are both popular"]
-    ask("INSERT INTO articles VALUES " + ", ".join(f"({k}, 't', '{r}')" for k, r in enumerate(rows, 1)))
-    match = lambda q: sorted(r[0] for r in ask("SELECT id FROM articles WHERE MATCH(content) AGAINST ($1)", q))
-    assert match("Rust") == [1, 4]
-    ask("CREATE INDEX idx ON articles (content) USING FTS")
-    assert [match(q) for q in ("Databases", "Python", "Rust Python", "", "Rus")] == [[1], [2, 4], [4], [], []]
-    ask("UPDATE articles SET content = 'Python and Rust' WHERE id = 2")
-    assert match("Rust") == [1, 2, 4]
-    ask("DELETE FROM articles WHERE id = 4")
-    assert match("Rust") == [1, 2]
-    assert ask("SELECT count(*) FROM articles WHERE NOT MATCH(content) AGAINST ('')") == [(3,)]
+    ask("CREATE TABLE posts (no INT, head TEXT, body TEXT)")
+    rows = ["Tin is a soft metal, used for coating", "Zinc is used for roofs and paint", "Lead is heavy", "Tin and zinc are both old"]
+    ask("INSERT INTO posts VALUES " + ", ".join(f"({k}, 't', '{r}')" for k, r in enumerate(rows, 1)))
+    match = lambda q: sorted(r[0] for r in ask("SELECT no FROM posts WHERE MATCH(body) AGAINST ($1)", q))
+    assert match("Tin") == [1, 4]
+    ask("CREATE INDEX words ON posts (body) USING FTS")
+    assert [match(q) for q in ("COATING", "Zinc", "tin zinc", "", "Ti")] == [[1], [2, 4], [4], [], []]
+    ask("UPDATE posts SET body = 'Zinc and tin' WHERE no = 2")
+    assert match("Tin") == [1, 2, 4]
+    ask("DELETE FROM posts WHERE no = 4")
+    assert match("Tin") == [1, 2]
+    assert ask("SELECT count(*) FROM posts WHERE NOT MATCH(body) AGAINST ('')") == [(3,)]
 
 
 def test_vectors_and_hybrid(engine, ask):
-    ask("CREATE TABLE papers (id INT, content TEXT, embedding VECTOR(3)); CREATE INDEX v ON papers (embedding) USING HNSW")
-    ask(PAPERS)
-    assert ask("SELECT id FROM papers WHERE MATCH(content) AGAINST ('Database') AND VECTOR_DISTANCE(embedding, [0, 1, 0]) < 1.0") == [(3,)]
-    assert ask("SELECT id FROM papers ORDER BY embedding <-> [0.1, 0.2, 0.9] LIMIT 1") == [(4,)]
-    assert ask("SELECT id FROM papers ORDER BY embedding <-> $1 LIMIT 2", [0.0, 1.0, 0.0]) == [(2,), (3,)]
-    assert [r["vec_id"] for r in engine.vector_search("papers", "embedding", [0, 1, 0], 2).collect()] == [2, 3]
-    assert [r["doc_id"] for r in engine.bm25_search("papers", "content", "rust database", 1).collect()] == [3]
-    assert [r["id"] for r in engine.hybrid_search("papers", "content", "embedding", "rust", [0, 1, 0], 2).collect()] == [2, 3]
+    ask("CREATE TABLE notes (no INT, body TEXT, place VECTOR(3)); CREATE INDEX v ON notes (place) USING HNSW")
+    ask(NOTES)
+    assert ask("SELECT no FROM notes WHERE MATCH(body) AGAINST ('harbour') AND VECTOR_DISTANCE(place, [0, 1, 0]) < 1.0") == [(3,)]
+    assert ask("SELECT no FROM notes ORDER BY place <-> [0.2, 0.1, 0.9] LIMIT 1") == [(4,)]
+    assert ask("SELECT no FROM notes ORDER BY place <-> $1 LIMIT 2", [0.0, 1.0, 0.0]) == [(2,), (3,)]
+    assert [r["vec_id"] for r in engine.vector_search("notes", "place", [0, 1, 0], 2).collect()] == [2, 3]
+    assert [r["doc_id"] for r in engine.bm25_search("notes", "body", "copper harbour", 1).collect()] == [3]
+    assert [r["id"] for r in engine.hybrid_search("notes", "body", "place", "copper", [0, 1, 0], 2).collect()] == [2, 3]
     with pytest.raises(Exception, match="dimension"):
-        ask("SELECT id FROM papers WHERE embedding <-> [1] < 2")
+        ask("SELECT no FROM notes WHERE place <-> [1] < 2")
 
 
 def test_upsert_null_keys_and_repeats(ask):
