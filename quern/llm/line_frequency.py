@@ -122,7 +122,7 @@ def clean(
                 hits = (known[at] == flat) & ~null & (first[at] != np.repeat(own.to_numpy(zero_copy_only=False), sizes))
             return _stripped(texts, keys, hits, min_kept)
 
-        new = strip(F.col(text), F.col(_KEYS), F.col(_DOC))
+        new = strip.asNondeterministic()(F.col(text), F.col(_KEYS), F.col(_DOC))
     else:
         hits = _held(docs, host, text, doc_id).join(frequent, _HASH).filter(F.col(_FIRST) != F.col(_DOC)).groupBy(_ID, _DOC).agg(F.collect_set(_HASH).alias(_DROP))
         a, b = marked.alias("a"), hits.alias("b")
@@ -137,6 +137,7 @@ def clean(
                     hits[offsets[k] : offsets[k + 1]] = np.isin(flat[offsets[k] : offsets[k + 1]], some) & ~null[offsets[k] : offsets[k + 1]]
             return _stripped(texts, keys, hits, min_kept)
 
-        new = strip_joined(F.col(text), F.col(_KEYS), F.col(_DROP))
+        new = strip_joined.asNondeterministic()(F.col(text), F.col(_KEYS), F.col(_DROP))
+    # not called deterministic, else the filter would have every text stripped twice
     fresh = private("new")
     return marked.withColumn(fresh, new).filter(F.col(fresh).isNotNull()).withColumn(text, F.col(fresh)).select(*[F.col(f"`{c}`") for c in docs.columns])
