@@ -41,7 +41,8 @@ def _normal(line: Column) -> Column:
 def _keys(host: str, text: str) -> Column:
     """For each line its hash, null for a blank one; the host's name, or that it is null, is part of it."""
     named = F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit(""))
-    return F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.when(_normal(x) != "", F.xxhash64(named, _normal(x))))
+    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), _normal)
+    return F.transform(lines, lambda x: F.when(x != "", F.xxhash64(named, x)))
 
 
 def _held(docs: DataFrame, host: str, text: str, doc_id: str) -> DataFrame:
