@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions import register_functions
-from quern.plans.dialect import rewrite
+from quern.plans.dialect import rewrite, tokens
 from quern.sources import register_folder
+from quern.sources.tables import TABLES
 from quern.suite.common import Tables, register
 
 QUERIES: dict = {}
@@ -22,8 +22,8 @@ def money(x) -> F.Column:
 
 def run_sql(t: Tables, sql: str, *params: object) -> DataFrame:
     """A query in the engine's dialect over the folder's tables."""
-    register_folder(t.spark, t._folder)
-    register_functions(t.spark)
+    named = {x.text for x in tokens(sql) if x.kind == "word"}
+    register_folder(t.spark, t._folder, tuple(n for n in TABLES if n in named))
     return t.spark.sql(rewrite(sql), args={f"p{k + 1}": v for k, v in enumerate(params)} or None)
 
 
