@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import cut, digest, drop_copies, private
 
-_ID, _DIGEST, _I, _N, _BLOCK, _NAME, _A, _B = map(private, ("id", "digest", "i", "n", "block", "name", "a", "b"))
+_ID, _DIGEST, _I, _N, _BLOCK, _NAME, _A, _B, _ROWS = map(private, ("id", "digest", "i", "n", "block", "name", "a", "b", "rows"))
 _KEY = [_ID, _DIGEST]
 
 #: Characters in a block. A text of up to so many is named in one step.
@@ -49,21 +49,26 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
         F.transform(F.sequence(F.lit(0), F.col(_N) - 1), lambda i: F.substring(F.col(_BLOCK), i * block + 1, F.lit(block)))
     )
     blocks = whole.select(*_KEY, _N, F.posexplode(parts).alias(_I, _BLOCK))
-    now = cut(blocks.select(*_KEY, _N, _I, _name(_BLOCK).alias(_NAME)))
+    now = cut(blocks.select(*_KEY, _N, _I, _name(_BLOCK).alias(_NAME), F.lit(1).cast("long").alias(_ROWS)))
     longest = now.agg(F.max(_N)).first()[0] or 0
     done, level = now.filter(F.col(_N) == 1), 0
-    done = done.select(*_KEY, F.lit(0).alias("level"), _NAME)
+    done = done.select(*_KEY, F.lit(0).alias("level"), _NAME, _ROWS)
     while (1 << level) < longest:
         level += 1
         pairs = (
             now.filter(F.col(_N) > (1 << (level - 1)))
             .groupBy(*_KEY, _N, F.shiftright(_I, 1).alias(_I))
-            .agg(F.max(F.when(F.col(_I) % 2 == 0, F.col(_NAME))).alias(_A), F.max(F.when(F.col(_I) % 2 == 1, F.col(_NAME))).alias(_B))
+            .agg(
+                F.max(F.when(F.col(_I) % 2 == 0, F.col(_NAME))).alias(_A),
+                F.max(F.when(F.col(_I) % 2 == 1, F.col(_NAME))).alias(_B),
+                # rows that repeat doc_id and text fall together at level 1: each has one even block of a pair
+                F.sum(F.when(F.col(_I) % 2 == 0, F.col(_ROWS))).alias(_ROWS),
+            )
         )
-        now = cut(pairs.select(*_KEY, _N, _I, _name(_A, _B).alias(_NAME)))
-        done = done.unionByName(now.filter(F.col(_N) <= (1 << level)).select(*_KEY, F.lit(level).alias("level"), _NAME))
-    # rows that repeat doc_id and text fall together here, with their number
-    return done.groupBy(*_KEY, "level", _NAME).agg(F.count(F.lit(1)).alias("rows")).withColumnsRenamed({_ID: "id", _DIGEST: "digest", _NAME: "name"})
+        now = cut(pairs.select(*_KEY, _N, _I, _name(_A, _B).alias(_NAME), _ROWS))
+        done = done.unionByName(now.filter(F.col(_N) <= (1 << level)).select(*_KEY, F.lit(level).alias("level"), _NAME, _ROWS))
+    # rows of one block that repeat doc_id and text fall together here
+    return done.groupBy(*_KEY, "level", _NAME).agg(F.sum(_ROWS).alias("rows")).withColumnsRenamed({_ID: "id", _DIGEST: "digest", _NAME: "name"})
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, block: int) -> DataFrame:

@@ -14,3 +14,13 @@ def test_small_blocks_match_brute_force(spark, block):
     rows = list(enumerate(texts))
     got = {(x["doc_id"], x["keep_id"], x["copies"]) for x in block_naming.copies(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
     assert got == {(k, texts.index(t), texts.count(t)) for k, t in rows if texts.index(t) != k}
+
+
+@pytest.mark.parametrize("blocks", [2, 3, 5])
+def test_repeated_rows_of_long_texts_are_copies(spark, blocks):
+    text = "".join(chr(97 + i % 23) for i in range(4096 * blocks - 7))
+    rows = [(1, text)] * 3 + [(2, text)] * 2 + [(3, text + "!")] * 2 + [(None, text + "?")] * 3 + [(4, "short")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((x["doc_id"], x["keep_id"], x["copies"]) for x in block_naming.copies(df).collect()), key=repr)
+    assert got == sorted([(1, 1, 5)] * 2 + [(2, 1, 5)] * 2 + [(3, 3, 2), (4, 4, 2)] + [(None, None, 3)] * 2, key=repr)
+    assert sorted((x["doc_id"] for x in block_naming.dedup(df).collect()), key=repr) == [1, 3, 4, None]
