@@ -12,9 +12,12 @@ the input reports for itself, repeated rows repeatedly; extra columns play no pa
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import license_texts
 from quern.llm.common import private
 
 #: Spellings that count as the same word.
@@ -42,7 +45,7 @@ _BSD_TAIL = (
 )
 
 #: Licence, and a text or notice that stands for it. Several texts may name one licence.
-KNOWN: list[tuple[str, str]] = [
+STATED: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
@@ -65,6 +68,8 @@ Permission to use, copy, modify, and/or distribute this software for any purpose
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
     ("BSD-2-Clause", f"{_BSD_HEAD}\n\n1. {_BSD_1}\n\n2. {_BSD_2}\n\n{_BSD_TAIL}"),
     ("BSD-3-Clause", f"{_BSD_HEAD}\n\n1. {_BSD_1}\n\n2. {_BSD_2}\n\n3. {_BSD_3}\n\n{_BSD_TAIL}"),
+    ("BSD-2-Clause", f"{_BSD_HEAD}\n\n* {_BSD_1}\n\n* {_BSD_2}\n\n{_BSD_TAIL}"),
+    ("BSD-3-Clause", f"{_BSD_HEAD}\n\n* {_BSD_1}\n\n* {_BSD_2}\n\n* {_BSD_3}\n\n{_BSD_TAIL}"),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Released under the Apache License, Version 2.0."),
@@ -80,6 +85,19 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 ]
 
 
+def _plain_form(text: str) -> str:
+    """What canonical() makes of a known text, by which its forms are told apart before Spark sees them."""
+    t = re.sub(r"[\W_]+", " ", re.sub(COPYRIGHT, r"\1", text.lower()))
+    for other, one in SPELLINGS.items():
+        if other in t:
+            t = re.sub(rf"(^| ){other}(?=$| )", rf"\1{one}", t)
+    return t.strip()
+
+
+#: STATED, the full texts in spdx/ in their usual forms, notices, and a line for every SPDX identifier.
+KNOWN = license_texts.expanded(STATED, _plain_form)
+
+
 def _spelled(other: str, one: str):
     """Replaces whole words other; a word's end stays to the next word, so that neighbours match too."""
     return lambda x: F.when(F.contains(x, F.lit(other)), F.regexp_replace(x, rf"(^|[ \n]){other}(?:$|([ \n]))", f"$1{one}$2")).otherwise(x)

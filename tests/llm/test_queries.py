@@ -2,8 +2,9 @@
 
 import pytest
 from comparison import duck_rows, rows_of
+from pyspark.sql import functions as F
 
-from quern.llm import licenses, line_frequency, mixing, queries, sharding
+from quern.llm import license_texts, licenses, line_frequency, mixing, queries, sharding
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -42,3 +43,20 @@ def test_licence_texts_are_found_in_other_dress(spark, duck):
     # a text of one line is found as a text and as a line
     assert (1, "text", "ISC") in got and (2, "line", "MIT") in got and (7, "text", "ISC") in got
     assert {g[0] for g in got} == {1, 2, 7}
+
+
+def test_full_licence_texts_and_spdx_lines_are_found(spark):
+    full, mit = license_texts.texts(), dict(licenses.STATED[4:5])["MIT"]
+    bare = mit.split("\n", 1)[1]
+    rows = [(name, text) for name, text in full.items()]
+    rows += [("MIT", bare), ("MIT", "The MIT License (MIT)\n" + bare), ("MIT", "MIT License\n\nCopyright (c) 2020 me\nAll rights reserved.\n" + bare.split("holder", 1)[1])]
+    rows += [("GPL-2.0", full["GPL-2.0"].split("How to Apply These Terms")[0]), ("Apache-2.0", full["Apache-2.0"].split("APPENDIX:")[0])]
+    rows += [(i, f"// SPDX-License-Identifier: {i}") for i in ("GPL-2.0", "MPL-2.0", "ISC", "LGPL-2.1-or-later", "AGPL-3.0-only")]
+    df = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(df).filter("scope = 'text'").collect()}
+    assert got == {k: name for k, (name, _) in enumerate(rows)}
+
+
+def test_a_digest_names_one_licence(spark):
+    rows = spark.createDataFrame(licenses.KNOWN, "license string, text string").select(licenses._digest(licenses.canonical(F.col("text"))).alias("digest"), "license")
+    assert rows.groupBy("digest").agg(F.countDistinct("license").alias("n")).filter("n > 1").count() == 0
