@@ -1,8 +1,8 @@
 """HTML extraction: a recurrent block labeller.
 
 A page is cut into its leaf blocks: the texts between block-level tags, each with the path of
-the tags that are open. A block's vector holds hashed tags of the path, hashed words, and a
-few measures (length, share of linked text, share of signs, place). A bidirectional LSTM in
+the tags that are open. A block's vector holds hashed tags of the whole path (the nearer to the
+text the heavier, but none below half), hashed words, and a few measures (length, share of linked text, share of signs, place). A bidirectional LSTM in
 numpy reads the page's whole sequence, so every block is classified as content or not with
 what stands before and after it.
 
@@ -33,7 +33,7 @@ from quern.llm.common import bounded_batches, md5_key
 
 #: Pages that the labeller is trained on, at most.
 SAMPLE_PAGES = 384
-PATHS, WORDS, MEASURES, HIDDEN = 32, 32, 6, 16
+PATHS, WORDS, MEASURES, HIDDEN = 160, 128, 6, 16
 WIDTH = PATHS + WORDS + MEASURES
 
 _TAG = re.compile(
@@ -131,9 +131,11 @@ def vectors(page: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
     """One row a block: hashed path, hashed words, measures."""
     x = np.zeros((len(page), WIDTH), np.float32)
     for i, (path, text, linked) in enumerate(page):
-        for step in path[-6:]:
-            x[i, _bucket(step, PATHS)] = 1
-            x[i, _bucket(step.partition(".")[0], PATHS)] = 1
+        weight = 0.5
+        for step in reversed(path):
+            for k in (_bucket(step, PATHS), _bucket(step.partition(".")[0], PATHS)):
+                x[i, k] = max(x[i, k], 0.5 + weight)
+            weight *= 0.9
         words = _WORD.findall(text.lower())
         if words:
             counts = np.bincount([_bucket(w, WORDS) for w in words], minlength=WORDS)

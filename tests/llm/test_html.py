@@ -60,3 +60,26 @@ def test_untaught_pages_are_all_content(spark):
     df = spark.createDataFrame([(1, "<p>a b</p><p>c</p>"), (1, "<p>a b</p><p>c</p>"), (2, None), (None, "x")], "page_id long, html string")
     rows = [(r["page_id"], r["block"], r["content"], r["score"], r["text"]) for r in h.label(df).collect()]
     assert sorted(rows, key=repr) == sorted([(1, 0, True, 0.5, "a b"), (1, 1, True, 0.5, "c")] * 2 + [(None, 0, True, 0.5, "x")], key=repr)
+
+
+def test_deeply_nested_pages():
+    """The deciding tag stands ten block-level tags above the text, and nothing else tells blocks apart."""
+    r = np.random.default_rng(2)
+
+    def page():
+        parts = []
+        for _ in range(8):
+            tag = r.choice(["nav", "aside", "footer", "article"])
+            parts.append(f"<{tag}>" + "<div>" * 10 + " ".join(f"w{k}" for k in r.integers(0, 50, 12)) + "</div>" * 10 + f"</{tag}>")
+        return f"<html><body>{''.join(parts)}</body></html>"
+
+    pages = [page() for _ in range(240)]
+    weights = h.train(pages[:200])
+    cut = [h.blocks(p) for p in pages[200:]]
+    truth = np.array([h.taught(b[0]) for p in cut for b in p])
+    assert ((np.concatenate(h.predict([h.vectors(p) for p in cut], weights)) >= 0.5) == truth).mean() > 0.98
+
+
+def test_deciding_tags_have_buckets_of_their_own():
+    tags = ["div", "ul", "li", "p", "section", "table", "tr", "td", "body", "html", "h1", "h2", "h3", "article", "main", "nav", "footer", "aside", "header", "menu", "form"]
+    assert len({h._bucket(t, h.PATHS) for t in tags}) == len(tags)
