@@ -49,7 +49,7 @@ def op8_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cross_parsing.scores(table(spark, sf_dir, "documents"), cross_parsing.good_ids(table(spark, sf_dir, "labels")))
+    return cross_parsing.scores(table(spark, sf_dir, "documents"))
 
 
 def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,6 @@ from conftest import plain
 from quern.llm import bk_simhash, block_naming, cross_parsing, html_lstm, licenses, line_frequency, mixing, packing, sharding, token_blocks
 
 pages = lambda df: df.withColumnRenamed("doc_id", "page_id").withColumnRenamed("text", "html")
-good = lambda df: df.select(df["doc_id"].alias("id")).filter("id in (1, 7)").distinct()
 
 OPERATORS = {
     "token_blocks": lambda df: token_blocks.encode(df),
@@ -20,7 +19,8 @@ OPERATORS = {
     "block_naming_dedup": lambda df: block_naming.dedup(df),
     "mixing": lambda df: mixing.plan(df, {"s1": 2.0}, budget_share=0.5),
     "mixing_mix": lambda df: mixing.mix(df, weights={"s1": 2.0}, budget_share=0.5),
-    "cross_parsing": lambda df: cross_parsing.scores(df, good(df)),
+    "cross_parsing": lambda df: cross_parsing.scores(df),
+    "cross_parsing_hot": lambda df: cross_parsing.scores(df, hot=2, batch_bytes=1000),
     "bk_simhash": lambda df: bk_simhash.near_copies(df),
     "bk_simhash_dedup": lambda df: bk_simhash.dedup(df),
 }
@@ -86,7 +86,7 @@ def test_shards(edges):
 
 
 def test_scores(edges):
-    rows = cross_parsing.scores(edges, good(edges), cell_bytes=10**9).collect()
+    rows = cross_parsing.scores(edges).collect()
     assert len(rows) == edges.count()
     assert all(r["n_symbols"] == 0 and r["score"] is None for r in rows if r["doc_id"] in (3, 4, 5, 6))
 
