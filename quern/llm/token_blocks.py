@@ -11,13 +11,15 @@ bytes; the exceptions' positions (1 byte each), then their high bits (4 bytes ea
 
 Defined results: a null text has null everywhere; an empty one has no blocks and an empty
 payload. Each row of the input gives one row, repeated rows repeatedly; extra columns play no
-part. Texts of any length are encoded whole. Special tokens' strings are ordinary text.
+part; an empty table gives no rows. Texts of any length are encoded whole, runs of white space of
+any length too. Special tokens' strings are ordinary text.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -34,9 +36,26 @@ PERCENTILE = 0.9
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-level vocabularies cut texts before merging; part of their public definition.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A run of what SPLIT calls white space that its look-ahead would go through step by step, on the stack.
+_LONG_BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{512,}")
 _TEXTS = 64
 
 
+def _parted(encode: Callable[[str], list[int]], whole: Callable[[str], list[int]]) -> Callable[[str], list[int]]:
+    """encode, with long runs of white space taken out where SPLIT parts them anyway: all of a run at the text's end, else all but its last sign."""
+
+    def run(text: str) -> list[int]:
+        out, at = [], 0
+        for m in _LONG_BLANK.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            out += encode(text[at : m.start()])
+            out += whole(text[m.start() : end])
+            at = end
+        return out + encode(text[at:]) if at else encode(text)
+
+    return run
+
+
 @cache
 def tokenizer(path: str) -> Callable[[str], list[int]]:
     """Token ids of a text by a .tiktoken, .json or .model vocabulary file."""
@@ -45,7 +64,8 @@ def tokenizer(path: str) -> Callable[[str], list[int]]:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        return tiktoken.Encoding(os.path.basename(path), pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encode, whole = (tiktoken.Encoding(os.path.basename(path), pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (SPLIT, r"[\s\S]+"))
+        return _parted(encode, whole)
     if path.endswith(".model"):
         import sentencepiece
 
@@ -164,6 +184,6 @@ def decoded(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             payload, starts = batch.column("payload").to_pylist(), batch.column("block_starts").to_pylist()
             ids = [None if p is None else decode(p, s) for p, s in zip(payload, starts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    return blocks.select("doc_id", "block_starts", "payload").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return blocks.select("doc_id", "block_starts", "payload").mapInArrow(run, f"doc_id {kind}, ids array<bigint>")

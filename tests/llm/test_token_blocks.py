@@ -42,3 +42,26 @@ def test_other_vocabularies(spark):
         path = f"/opt/tokenizers/{name}"
         got = {r["doc_id"]: r["ids"] for r in token_blocks.decoded(token_blocks.encode(df, path)).collect()}
         assert got == {1: list(token_blocks.tokenizer(path)("Some text, <|endoftext|> here.")), 2: None}
+
+
+def test_long_white_space_is_encoded_as_whole_texts_are():
+    encode = token_blocks.tokenizer(token_blocks.TOKENIZER)
+    plain = encode.__closure__[0].cell_contents
+    for text in ("a" + " " * 600 + "b c", " " * 700, "x" + "\n \t" * 300 + "y", " " * 600 + "\n", "a \u2003" + "\u2003" * 600 + ", b" + " " * 513, " " * 512 + "1" + "  " * 400 + "!"):
+        assert encode(text) == plain(text), repr(text[:9])
+    million = encode("a" + " " * 1_000_000 + "b")
+    assert len(million) == 1_000_001 and encode(" " * 1_000_000) == million[1:2] * 1_000_000
+    assert sum(map(len, map(str, encode("!" * 1_000_000)))) > 0
+
+
+def test_a_text_of_white_space_does_not_fail_its_task(spark):
+    df = spark.createDataFrame([(1, " " * 1_000_000), (2, "!" * 300_000 + "\n" * 300_000 + "x"), (3, "ok")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in token_blocks.decoded(token_blocks.encode(df)).collect()}
+    assert len(rows[1]["ids"]) == 1_000_000 and rows[3]["ids"] == token_blocks.tokenizer(token_blocks.TOKENIZER)("ok")
+
+
+def test_ids_beyond_31_bits_are_decoded(spark):
+    ids = [2**32 - 1, 0, 2**31]
+    data, start, _ = token_blocks.encode_blocks(np.array(ids, np.uint32), np.array([3]))
+    df = spark.createDataFrame([("k", start.tolist(), bytearray(data.tobytes()))], "doc_id string, block_starts array<int>, payload binary")
+    assert token_blocks.decoded(df).first()["ids"] == ids
