@@ -6,8 +6,12 @@ of known licence texts and notices. Matching is of entire texts: the whole docum
 of its lines, which is how notices stand in documents.
 
 Known texts are a fixed list, whatever the corpus, so their digests are broadcast and the
-corpus isn't shuffled. Defined results: null, empty and blank texts match nothing; each row of
-the input reports for itself, repeated rows repeatedly; extra columns play no part.
+corpus isn't shuffled; a caller's own list beyond BROADCAST_KNOWN texts is joined by shuffle. The
+sentence "All rights reserved." is no licence and reported under the name all-rights-reserved.
+
+Defined results: null, empty and blank texts match nothing; each row of the input reports for
+itself, repeated rows repeatedly; an empty table gives no rows; where several licences have one
+digest, the first by name is reported; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from pyspark.sql import functions as F
 from quern.llm import license_texts
 from quern.llm.common import private
 
+#: Known texts up to which their digests (some 100 bytes each) are broadcast.
+BROADCAST_KNOWN = 200_000
 #: Spellings that count as the same word.
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sub license": "sublicense", "sub licensing": "sublicensing", "acknowledgement": "acknowledgment", "organisation": "organization", "favour": "favor",
@@ -81,7 +87,7 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
-    ("proprietary", "All rights reserved."),
+    ("all-rights-reserved", "All rights reserved."),
 ]
 
 
@@ -125,7 +131,7 @@ def canonical_sql(text: str) -> str:
 def known_digests(df: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license) of the known texts, by the same canonical form."""
     rows = df.sparkSession.createDataFrame(known if known is not None else KNOWN, "license string, text string")
-    return rows.select(_digest(canonical(F.col("text"))).alias("digest"), "license").dropDuplicates(["digest"])
+    return rows.select(_digest(canonical(F.col("text"))).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def _digest(line_or_text: Column) -> Column:
@@ -141,6 +147,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: lis
     lines = docs.select(F.col(doc_id).alias("doc_id"), canonical(F.col(text)).alias(form)).filter(F.col(form) != "")
     units = F.concat(F.array(F.col(form)), F.split(F.col(form), "\n"))
     units = lines.select("doc_id", F.posexplode(units).alias("line", line)).withColumn("digest", _digest(F.col(line)))
-    return units.join(F.broadcast(known_digests(docs, known)), "digest").select(
+    digests = known_digests(docs, known)
+    few = len(KNOWN if known is None else known) <= BROADCAST_KNOWN
+    return units.join(F.broadcast(digests) if few else digests, "digest").select(
         "doc_id", F.when(F.col("line") == 0, "text").otherwise("line").alias("scope"), "line", "license", "digest"
     )
