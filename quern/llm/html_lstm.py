@@ -1,17 +1,18 @@
 """HTML extraction: a recurrent block labeller.
 
 A page is cut into its leaf blocks: the texts between block-level tags, each with the path of
-the tags that are open. A block's vector holds hashed tags of the whole path (the nearer to the
-text the heavier, but none below half), hashed words, and a few measures (length, share of linked text, share of signs, place). A bidirectional LSTM in
-numpy reads the page's whole sequence, so every block is classified as content or not with
-what stands before and after it.
+the tags that are open, each with all its classes and its id. A block's vector holds the hashed
+steps of the whole path (the nearer to the text the heavier, but none below half), hashed words,
+and a few measures (length, share of linked text, share of signs, place). A bidirectional LSTM in
+numpy reads the page's whole sequence, so every block is classified as content or not with what
+stands before and after it.
 
 It is trained here, on a bounded sample of pages (`sample_pages`, those of the smallest hash):
 the teacher is the pages' own markup, where it says what is content (article, main) or not
 (nav, footer, aside, header, a class such as ad). Half of the training pages hide their paths, so that
 words and neighbours count where markup says nothing.
 
-Defined results: a null, empty or textless page gives no rows; script, style, comments and the
+Defined results: a null, empty or textless page gives no rows, an empty table none either; script, style, comments and the
 head are no text; an unclosed comment or script reaches to the end of the page. Where no page
 of the sample has blocks that the teacher knows, every block is content with score 0.5.
 Repeated rows give repeated results; extra columns play no part; pages of any length are read whole.
@@ -40,10 +41,13 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*>",
     re.S | re.I,
 )
-_CLASS = re.compile(r"\b(?:class|id)\s*=\s*[\"']?([\w-]+)", re.I)
+_CLASS = re.compile(r"(?<![\w-])(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAME = re.compile(r"[\w-]+")
 _WORD = re.compile(r"\w+")
 _INLINE = frozenset("a abbr b bdi bdo big br cite code data em font i img kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: What an open tag stays open in, where another of its kind begins.
+_WITHIN = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "td": frozenset(["tr", "table"]), "th": frozenset(["tr", "table"]), "tr": frozenset(["table"])}
 _CONTENT = frozenset(["article", "main"])
 _BOILERPLATE = frozenset("nav footer aside header menu form .ad .ads .advert .sidebar .nav .navbar .footer .header .menu .cookie .comments .share .social .related".split())
 
@@ -93,22 +97,38 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
                 k = len(tags) - 1 - tags[::-1].index(name)
                 del tags[k:], stack[k:]
         elif name not in _VOID and not m.group(4).endswith("/"):
-            if name in ("p", "li") and name in tags[-3:]:
-                k = len(tags) - 1 - tags[::-1].index(name)
-                del tags[k:], stack[k:]
-            c = _CLASS.search(m.group(4)) if m.group(4) else None
+            k = _closed(tags, name)
+            del tags[k:], stack[k:]
+            named = [x for c in _CLASS.finditer(m.group(4)) for x in _NAME.findall("".join(filter(None, c.groups())).lower())] if m.group(4) else []
             tags.append(name)
-            stack.append(f"{name}.{c.group(1).lower()}" if c else name)
+            stack.append(".".join([name, *named]))
     take(page[at:])
     end()
     return out
 
 
+def _closed(tags: list[str], name: str) -> int:
+    """How many of the open tags stay open where tag name begins: a paragraph ends at any block, an item at the next of its list."""
+    if name in _WITHIN:
+        for k in range(len(tags) - 1, -1, -1):
+            if tags[k] == name or name in ("dt", "dd") and tags[k] in ("dt", "dd"):
+                return k
+            if tags[k] in _WITHIN[name]:
+                break
+    elif name not in _INLINE:
+        for k in range(len(tags) - 1, -1, -1):
+            if tags[k] == "p":
+                return k
+            if tags[k] not in _INLINE:
+                break
+    return len(tags)
+
+
 def taught(path: tuple[str, ...]) -> int | None:
     """1 for content, 0 for boilerplate, None where the markup doesn't say."""
     for step in reversed(path):
-        tag, _, kind = step.partition(".")
-        if tag in _BOILERPLATE or kind and f".{kind}" in _BOILERPLATE:
+        tag, *kinds = step.split(".")
+        if tag in _BOILERPLATE or any(f".{kind}" in _BOILERPLATE for kind in kinds):
             return 0
         if tag in _CONTENT:
             return 1
@@ -133,7 +153,8 @@ def vectors(page: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
     for i, (path, text, linked) in enumerate(page):
         weight = 0.5
         for step in reversed(path):
-            for k in (_bucket(step, PATHS), _bucket(step.partition(".")[0], PATHS)):
+            tag, *kinds = step.split(".")
+            for k in (_bucket(tag, PATHS), *(_bucket(f"{tag}.{kind}", PATHS) for kind in kinds)):
                 x[i, k] = max(x[i, k], 0.5 + weight)
             weight *= 0.9
         words = _WORD.findall(text.lower())
