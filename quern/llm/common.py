@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,8 +71,16 @@ def digest(text: str) -> Column:
     return F.xxhash64(F.col(text))
 
 
-#: Rows to drop up to which their ids are broadcast; beyond, the join shuffles.
-BROADCAST_DROPS = 1_000_000
+#: Bytes of a table up to which it is broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 64 << 20
+
+
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether df's values, which should be cut, have so few bytes that it may be broadcast."""
+    held = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        held += F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(16)
+    return (df.agg(F.sum(held)).first()[0] or 0) <= limit
 
 
 def drop_copies(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -82,8 +90,8 @@ def drop_copies(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> Da
     """
     found = cut(found.filter((F.col("nth") > 1) | (F.col("rows") > 1)).select("id", "digest", "nth", "rows"))
     drop, twice = found.filter(F.col("nth") > 1), found.filter((F.col("nth") == 1) & (F.col("rows") > 1))
-    drop = F.broadcast(drop) if drop.count() <= BROADCAST_DROPS else drop
-    hashed, nth = private("digest"), private("nth")
+    drop = F.broadcast(drop) if fits(drop) else drop
+    hashed = private("digest")
     left = docs.withColumn(hashed, digest(text)).alias("d")
 
     def match(other: str) -> Column:
@@ -92,12 +100,44 @@ def drop_copies(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> Da
     left = left.join(drop.alias("x"), match("x"), "left_anti")
     if not twice.isEmpty():
         left = left.alias("d")
-        once = left.join(twice.alias("y"), match("y"), "left_semi")
-        once = once.withColumn(nth, F.row_number().over(Window.partitionBy(doc_id, hashed).orderBy(doc_id))).filter(F.col(nth) == 1)
-        left = left.join(twice.alias("y"), match("y"), "left_anti").unionByName(once.drop(nth))
+        twice = F.broadcast(twice) if fits(twice) else twice
+        # combines on the map side, so that no task sees all the rows that are one
+        once = left.join(twice.alias("y"), match("y"), "left_semi").dropDuplicates([doc_id, hashed])
+        left = left.join(twice.alias("y"), match("y"), "left_anti").unionByName(once)
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+#: Groups larger than this share of all rows are joined by broadcast, so there are at most as many of them.
+HOT_SHARE, HOT_ROWS = 4096, 10_000
+
+
+def hot_limit(total: int) -> int:
+    """Rows of a group from which on it is hot: a part in HOT_SHARE of them all, so that no more than HOT_SHARE groups are."""
+    return max(HOT_ROWS, total // HOT_SHARE)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, limit: int) -> DataFrame:
+    """rows joined to their groups by columns without nulls; size is the column of groups that counts their rows.
+
+    Groups above limit, of which there are few by hot_limit(), are broadcast, so that none of
+    them gathers in a task; rows and groups are read twice and should be cut.
+    """
+    hot = groups.filter(F.col(size) > limit)
+    if hot.isEmpty():
+        return rows.join(groups, on)
+    large = F.broadcast(hot.select(*on))
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(large, on, "left_anti").join(groups.filter(F.col(size) <= limit), on))
+
+
+def repeated(df: DataFrame, times: Column) -> DataFrame:
+    """Each row as often as times says, in steps that no array outgrows."""
+    step, at = 1 << 16, private("at")
+    many = df.withColumn(private("times"), times).filter(F.col(private("times")) > 0)
+    many = many.withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), (F.col(private("times")) - 1).cast("long"), F.lit(step).cast("long"))))
+    last = F.least(F.col(private("times")) - F.col(at), F.lit(step))
+    return many.select(*df.columns, F.explode(F.sequence(F.lit(1).cast("long"), last.cast("long"))).alias(private("i"))).drop(private("i"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in edges (a, b): component is the smallest node that it is connected with.
 

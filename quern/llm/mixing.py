@@ -19,13 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, md5_key, private, word_count
+from quern.llm.common import cut, fits, md5_key, private, word_count
 
 _SRC, _TOK, _KEY, _SLICE, _BEFORE, _W, _FIN = map(private, ("src", "tok", "key", "slice", "before", "w", "fin"))
 #: Slices of a source's shuffled order (by three hex digits of the key), and of the finish times.
 HEX, BINS = 3, 1 << 18
-#: Up to so many sources, what ends each of them is broadcast.
-BROADCAST_SOURCES = 200_000
 
 
 def _source(source: str) -> Column:
@@ -94,5 +92,5 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     last = plan(docs, doc_id=doc_id, source=source, text=text, seed=seed, **options).groupBy("queue").agg(F.max("key").alias(private("last")))
     marked = docs.withColumns({_SRC: _source(source), _KEY: _place(doc_id, text, seed)})
     ends = cut(last).withColumnRenamed("queue", _SRC)
-    ends = F.broadcast(ends) if ends.count() <= BROADCAST_SOURCES else ends
+    ends = F.broadcast(ends) if fits(ends) else ends
     return marked.join(ends, _SRC).filter(F.col(_KEY) <= F.col(private("last"))).select(*[F.col(f"`{c}`") for c in docs.columns])
