@@ -11,7 +11,7 @@ from quern.llm.common import table
 
 #: Parameters of the queries, which the SQL shares.
 MAX_DOCS, MIN_KEPT = 10, 0.1
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 1 << 20
 WEIGHTS, BUDGET_SHARE = {"src0": 0.5, "src1": 2.0, "src2": 2.0, "src3": 1.5}, 0.9
 CAPACITY, GROUP_DOCS = 4096, 8192
 
@@ -64,7 +64,7 @@ def license_sql() -> str:
     values = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in licenses.KNOWN)
     plain = "sha256(trim(replace({}, chr(10), ' ')))"
     return f"""
-WITH known AS (SELECT digest, any_value(license) AS license FROM (SELECT {plain.format(licenses.canonical_sql('text'))} AS digest, license FROM (VALUES {values}) AS k(license, text)) GROUP BY digest),
+WITH known AS (SELECT digest, min(license) AS license FROM (SELECT {plain.format(licenses.canonical_sql('text'))} AS digest, license FROM (VALUES {values}) AS k(license, text)) GROUP BY digest),
 forms AS (SELECT doc_id, {licenses.canonical_sql('text')} AS form FROM documents),
 units AS (
   SELECT doc_id, 0 AS line, form AS unit FROM forms WHERE form <> ''
@@ -88,7 +88,7 @@ HAVING coalesce(sum(size) FILTER (WHERE stays), 0) > 0 AND sum(size) FILTER (WHE
 
 def sharding_sql(limit_bytes: int = SHARD_BYTES) -> str:
     return f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, CAST('0x' || md5('shard:' || coalesce(CAST(doc_id AS VARCHAR), chr(0) || 'null'))[1:15] AS BIGINT) AS h, coalesce(strlen(text), 0) AS b FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, CAST('0x' || md5('shard:' || coalesce(CAST(doc_id AS VARCHAR), chr(0) || 'null') || ':' || coalesce(md5(text), chr(0) || 'null'))[1:15] AS BIGINT) AS h, coalesce(strlen(text), 0) AS b FROM documents),
 levels AS (SELECT d.*, l, h >> (60 - l) AS p FROM d, (SELECT CAST(range AS INTEGER) AS l FROM range(0, 61))),
 fits AS (SELECT l, p, CAST(sum(b) AS BIGINT) AS s FROM levels GROUP BY l, p HAVING sum(b) <= {limit_bytes} OR min(h) = max(h)),
 leaf AS (SELECT r, any_value(doc_id) AS doc_id, any_value(h) AS h, any_value(b) AS b, min(l) AS depth, arg_min(s, l) AS s FROM levels JOIN fits USING (l, p) GROUP BY r)

@@ -55,3 +55,10 @@ def test_documents_match_brute_force(documents, texts):
         totals = sorted({r["bin_id"]: r["bin_tokens"] for r in packed if r["bin_id"] is not None}.values())
         assert totals == brute([(d, len(t.split())) for d, t, _ in texts], capacity)
     assert len({r["bin_id"] >> packing.GROUP_SHIFT for r in packing.pack(documents, 4096, group_docs=20).collect()}) > 5
+
+
+def test_ids_keep_their_type(spark):
+    df = spark.createDataFrame([("b", "x y"), ("a", "x"), (None, "x y z"), ("a", "x"), ("c", None)], "doc_id string, text string")
+    rows = packing.pack(df, 4).collect()
+    assert sorted((r["doc_id"] or "", r["n_tokens"]) for r in rows) == [("", 3), ("a", 1), ("a", 1), ("b", 2), ("c", 0)]
+    assert sorted({r["bin_id"]: r["bin_tokens"] for r in rows if r["bin_id"] is not None}.values()) == [3, 4]
