@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 _OTHER = r"[^\\p{{IsAlphabetic}}\\p{{N}}]"
+_SIGN = r"[^\\p{{IsAlphabetic}}\\p{{N}}\\s]+"
 _FTS = f"filter(split(lower({{0}}), '{_OTHER}+'), x -> x <> '')"
 _FTS_OF_1 = _FTS.replace("{0}", "{1}")
 
@@ -23,7 +24,7 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
         "WHEN {0} IS NOT NULL AND {1} IS NOT NULL THEN CAST(raise_error('vectors differ in dimension') AS DOUBLE) END)",
     ),
     "fts_tokens": ("t STRING", "ARRAY<STRING>", _FTS),
-    "bm25_tokens": ("t STRING", "ARRAY<STRING>", rf"filter(transform(split(lower({{0}}), '\\s+'), x -> regexp_replace(x, '{_OTHER}', '')), x -> x <> '')"),
+    "bm25_tokens": ("t STRING", "ARRAY<STRING>", rf"filter(split(regexp_replace(lower({{0}}), '{_SIGN}', ''), '\\s+'), x -> x <> '')"),
     "fts_match": ("t STRING, q STRING", "BOOLEAN", f"coalesce(size({_FTS_OF_1}) > 0 AND size(array_except({_FTS_OF_1}, {_FTS})) = 0, false)"),
 }
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _OTHER = r"[^\p{IsAlphabetic}\p{N}]"
+_SIGN = r"[^\p{IsAlphabetic}\p{N}\s]+"
 
 
 def fts_tokens(text: Column) -> Column:
@@ -15,7 +16,8 @@ def fts_tokens(text: Column) -> Column:
 
 def bm25_tokens(text: Column) -> Column:
     """Lower case, split at white space, signs deleted: `foo-bar` is foobar."""
-    return F.filter(F.transform(F.split(F.lower(text), r"\s+"), lambda x: F.regexp_replace(x, _OTHER, "")), lambda x: x != "")
+    # signs go from the whole text at once, as white space stays where it is
+    return F.filter(F.split(F.regexp_replace(F.lower(text), _SIGN, ""), r"\s+"), lambda x: x != "")
 
 
 def contains_all(text: Column, query: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
-from operator import add, or_
+from operator import add
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,10 +44,6 @@ def query_terms(docs: DataFrame, query: str) -> Counter:
     return Counter(docs.sparkSession.range(1).select(bm25_tokens(F.lit(query)).alias("t")).first()["t"])
 
 
-def _equals(term: str):
-    return lambda x: x == term
-
-
 def bm25_search(docs: DataFrame, doc_id: str, text: str, query: str, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(doc_id, score) of the k best documents: any term counts, a repeated one repeatedly; ties by id.
 
@@ -58,18 +54,17 @@ def bm25_search(docs: DataFrame, doc_id: str, text: str, query: str, k: int = 10
     if not terms:
         return docs.select(F.col(doc_id).alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
     tokens = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(bm25_tokens(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
-    wanted = F.array(*[F.lit(t) for t, _ in terms])
-    counted = tokens.select("doc_id", F.size("tokens").alias("dl"), F.filter("tokens", lambda x: F.array_contains(wanted, x)).alias("hits"))
-    counted = counted.select("doc_id", "dl", *[F.size(F.filter("hits", _equals(t))).alias(f"tf{i}") for i, (t, _) in enumerate(terms)])
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
+    # all counts are one expression, so that the filter below, when pushed down, holds the tokens once and not once a term
+    counts = F.transform(F.lit([t for t, _ in terms]), lambda t: F.size(F.filter("tokens", lambda x: x == t)))
+    counted = tokens.select("doc_id", F.struct(F.size("tokens").alias("dl"), counts.alias("tf")).alias("c"))
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("c.dl").alias("avgdl"), *[F.count_if(F.col("c.tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))])
+    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("c.dl") / F.col("avgdl"))
     parts = []
     for i, (_, times) in enumerate(terms):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        tf, df = F.col("c.tf")[i], F.col(f"df{i}")
         idf = F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1)
         parts.append(F.when(tf > 0, F.lit(float(times)) * idf * (tf * (k1 + 1)) / (tf + norm)).otherwise(0.0))
-    hit = reduce(or_, (F.col(f"tf{i}") > 0 for i in range(len(terms))))
-    scored = counted.filter(hit).crossJoin(F.broadcast(stats)).select("doc_id", F.round(reduce(add, parts), 6).alias("score"))
+    scored = counted.filter(F.exists("c.tf", lambda x: x > 0)).crossJoin(F.broadcast(stats)).select("doc_id", F.round(reduce(add, parts), 6).alias("score"))
     return scored.orderBy(F.desc("score"), "doc_id").limit(k)
 
 
@@ -93,9 +88,12 @@ def fuse(ranked: Sequence[DataFrame], k: int, constant: int = RRF) -> DataFrame:
 
 def hybrid_search(docs: DataFrame, vectors: DataFrame, text_query: str, vector_query: Sequence[float], k: int = 10, doc_id: str = "doc_id", text: str = "text", vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(id, score): the 2k best by BM25 and the 2k nearest vectors, fused by reciprocal rank."""
-    by_text = bm25_search(docs, doc_id, text, text_query, 2 * k)
-    by_vector = vector_search(vectors, vec_id, embedding, vector_query, 2 * k)
-    # the windows see 2k rows
+    return fuse_ranked(bm25_search(docs, doc_id, text, text_query, 2 * k), vector_search(vectors, vec_id, embedding, vector_query, 2 * k), k)
+
+
+def fuse_ranked(by_text: DataFrame, by_vector: DataFrame, k: int) -> DataFrame:
+    """(id, score): results (doc_id, score) and (vec_id, distance) of limited searches fused by reciprocal rank."""
+    # the windows see as many rows as the searches' limits leave
     texts = by_text.select(F.col("doc_id").alias("id"), F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"))
     near = by_vector.select(F.col("vec_id").alias("id"), F.row_number().over(Window.orderBy("distance", "vec_id")).alias("rank"))
     return fuse([texts, near], k)

@@ -1,5 +1,5 @@
 """Reading and writing tables."""
 
-from quern.sources.tables import read_table, read_tables, register_folder, write_table
+from quern.sources.tables import json_rows, read_table, read_tables, register_folder, shared_folder, write_table
 
-__all__ = ["read_table", "read_tables", "register_folder", "write_table"]
+__all__ = ["json_rows", "read_table", "read_tables", "register_folder", "shared_folder", "write_table"]

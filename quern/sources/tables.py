@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -30,3 +34,19 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", partition_by: t
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
+
+
+def json_rows(df: DataFrame, name: str = "row") -> DataFrame:
+    """Each row as one JSON object, with nulls written out."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias(name))
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder that all executors share: under spark.checkpoint.dir, or a temporary one on a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.gettempdir()
+    return f"{named.rstrip('/')}/quern-{kind}-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.joins import asof_join
 from quern.plans.dialect import rewrite, tokens
 from quern.sources import register_folder
 from quern.sources.tables import TABLES
@@ -20,10 +21,14 @@ def money(x) -> F.Column:
     return F.round(x, 2)
 
 
+def show(t: Tables, names) -> None:
+    """Some of the folder's tables as temporary views."""
+    register_folder(t.spark, t._folder, tuple(n for n in TABLES if n in names))
+
+
 def run_sql(t: Tables, sql: str, *params: object) -> DataFrame:
     """A query in the engine's dialect over the folder's tables."""
-    named = {x.text for x in tokens(sql) if x.kind == "word"}
-    register_folder(t.spark, t._folder, tuple(n for n in TABLES if n in named))
+    show(t, {x.text for x in tokens(sql) if x.kind == "word"})
     return t.spark.sql(rewrite(sql), args={f"p{k + 1}": v for k, v in enumerate(params)} or None)
 
 
@@ -127,12 +132,12 @@ def join_full(t):
 
 @query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey < r_regionkey")
 def join_theta_nl(t):
-    return t.nation.join(F.broadcast(t.region), c("n_regionkey") < c("r_regionkey")).select("n_name", "r_name")
+    return t.nation.join(t.region, c("n_regionkey") < c("r_regionkey")).select("n_name", "r_name")
 
 
 @query("SELECT n_name, r_name FROM nation LEFT JOIN region ON n_regionkey > r_regionkey + 2")
 def join_left_theta(t):
-    return t.nation.join(F.broadcast(t.region), c("n_regionkey") > c("r_regionkey") + 2, "left").select("n_name", "r_name")
+    return t.nation.join(t.region, c("n_regionkey") > c("r_regionkey") + 2, "left").select("n_name", "r_name")
 
 
 @query("SELECT n_nationkey, r_regionkey FROM nation CROSS JOIN region")
@@ -160,6 +165,14 @@ def join_anti(t):
     return t.customer.join(t.orders.filter(c("o_totalprice") > 300000), c("o_custkey") == c("c_custkey"), "left_anti").select("c_custkey")
 
 
+@query("""SELECT p.event_id, p.user_id, c.clicked FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+    ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS clicked FROM events WHERE event_type = 'click' GROUP BY user_id, ts) c ON p.user_id = c.user_id AND p.ts >= c.ts""")
+def join_asof(t):
+    bought = t.events.filter(c("event_type") == "purchase").select("event_id", "user_id", "ts")
+    clicks = t.events.filter(c("event_type") == "click").select("user_id", "ts", c("event_id").alias("clicked"))
+    return asof_join(bought, clicks, ["user_id"], "ts").select("event_id", "user_id", "clicked")
+
+
 @query("SELECT a.l_orderkey, a.l_linenumber, b.l_partkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.l_quantity > 49")
 def join_multi_key(t):
     a = t.lineitem.filter(c("l_quantity") > 49).select("l_orderkey", "l_linenumber")
@@ -259,6 +272,18 @@ def agg_filter(t):
     return t.orders.groupBy("o_orderstatus").agg(F.count_if(c("o_totalprice") > 400000).alias("high"), money(F.sum(F.when(c("o_custkey") < 100, c("o_totalprice")))).alias("early"))
 
 
+@query("""SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus) AS BIGINT) AS level FROM orders
+    GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())""")
+def agg_grouping_sets(t):
+    sets = [[c("o_orderstatus"), c("o_orderpriority")], [c("o_orderpriority")], []]
+    return t.orders.groupingSets(sets, "o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.grouping("o_orderstatus").cast("long").alias("level"))
+
+
+@query("SELECT o_orderstatus, o_custkey % 3 AS third, count(*) AS n FROM orders GROUP BY ALL")
+def agg_group_by_all(t):
+    return run_sql(t, "SELECT o_orderstatus, o_custkey % 3 AS third, count(*) AS n FROM orders GROUP BY ALL")
+
+
 @query("SELECT DISTINCT p_brand, p_type FROM part")
 def distinct_rows(t):
     return t.part.select("p_brand", "p_type").distinct()
@@ -307,6 +332,29 @@ def window_rank(t):
     return t.orders.select("o_custkey", "o_orderkey", F.row_number().over(w).alias("nth")).filter(c("nth") <= 3)
 
 
+_W = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
+
+
+@query(f"""SELECT o_orderkey, lag(o_orderkey) OVER ({_W}) AS before, lead(o_orderkey, 2, -1) OVER ({_W}) AS after, ntile(3) OVER ({_W}) AS third, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS place,
+    dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS dense, first_value(o_orderkey) OVER ({_W}) AS first FROM orders""")
+def window_lag_lead(t):
+    w, by_status = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"), Window.partitionBy("o_custkey").orderBy("o_orderstatus")
+    return t.orders.select(
+        "o_orderkey", F.lag("o_orderkey").over(w).alias("before"), F.lead("o_orderkey", 2, -1).over(w).alias("after"), F.ntile(3).over(w).cast("long").alias("third"),
+        F.rank().over(by_status).cast("long").alias("place"), F.dense_rank().over(by_status).cast("long").alias("dense"), F.first("o_orderkey").over(w).alias("first"),
+    )
+
+
+@query(f"""SELECT o_orderkey, CAST(sum(o_custkey) OVER ({_W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS last_three, count(*) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 FOLLOWING) AS upto,
+    max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 1000 PRECEDING AND 1000 FOLLOWING) AS near FROM orders""")
+def window_frames(t):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    near = Window.partitionBy("o_custkey").orderBy("o_orderkey").rangeBetween(-1000, 1000)
+    return t.orders.select(
+        "o_orderkey", F.sum("o_custkey").over(w.rowsBetween(-2, 0)).alias("last_three"), F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 1)).alias("upto"), F.max("o_totalprice").over(near).alias("near")
+    )
+
+
 @query("""(SELECT c_nationkey AS k, 'u' AS kind FROM customer UNION SELECT s_nationkey, 'u' FROM supplier) UNION ALL (SELECT c_nationkey, 'i' FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey, 'i' FROM supplier)
     UNION ALL (SELECT n_nationkey, 'e' FROM nation EXCEPT SELECT s_nationkey, 'e' FROM supplier WHERE s_acctbal > 8000)""")
 def setop_union(t):
@@ -359,6 +407,12 @@ def json_long_arrow(t):
     return run_sql(t, "SELECT event_id, props ->> 'k' AS k, props ->> 'missing' AS missing FROM events")
 
 
+@query("SELECT event_id, CAST(props ->> '$.k' AS INTEGER) + 1 AS more FROM events WHERE json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') AND CAST(props ->> '$.k' AS INTEGER) % 2 = 0")
+def json_variant(t):
+    k = F.try_variant_get(F.parse_json("props"), "$.k", "int")
+    return t.events.filter(k % 2 == 0).select("event_id", (k + 1).alias("more"))
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour FROM events GROUP BY event_type, date_trunc('hour', ts)")
 def event_hours(t):
     from quern.streaming import event_windows

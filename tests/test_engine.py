@@ -96,14 +96,43 @@ def test_transactions(spark, engine, ask, tmp_path):
     assert sorted(tuple(r) for r in Engine(spark, str(tmp_path)).sql("SELECT id, v FROM t").collect()) == [(10, 2), (20, 4)]
 
 
-def test_last_commit_wins(spark, engine, tmp_path):
-    engine.sql("CREATE TABLE t (id INT); INSERT INTO t VALUES (1)")
+def test_concurrent_commits_keep_both_ones_rows(spark, engine, tmp_path):
+    engine.sql("CREATE TABLE t (id INT, v TEXT); INSERT INTO t VALUES (1, 'a')")
     other = Engine(spark, str(tmp_path))
-    engine.sql("BEGIN")
-    engine.sql("INSERT INTO t VALUES (2)")
-    other.sql("INSERT INTO t VALUES (3)")
+    engine.sql("BEGIN; INSERT INTO t VALUES (2, 'mine')")
+    other.sql("INSERT INTO t VALUES (3, 'theirs')")
     engine.sql("COMMIT")
-    assert sorted(r[0] for r in engine.table("t").collect()) == [1, 2]
+    rows = lambda: sorted(tuple(r) for r in engine.table("t").collect())
+    assert rows() == [(1, "a"), (2, "mine"), (3, "theirs")]
+    # of one key the last commit wins, and rows that stand in the same file stay the others'
+    engine.compact("t")
+    engine.sql("BEGIN; UPDATE t SET v = 'x' WHERE id = 1; DELETE FROM t WHERE id = 2")
+    other.sql("UPDATE t SET v = 'y' WHERE id IN (1, 2, 3); INSERT INTO t VALUES (4, 'new')")
+    engine.sql("COMMIT")
+    assert rows() == [(1, "x"), (3, "y"), (4, "new")]
+    assert engine.metrics()["redone"] == 2
+    # a table that the other one has dropped is there again
+    engine.sql("BEGIN; INSERT INTO t VALUES (5, 'five')")
+    other.sql("DROP TABLE t")
+    engine.sql("COMMIT")
+    assert rows() == [(1, "x"), (3, "y"), (4, "new"), (5, "five")]
+
+
+def test_views_and_cache(engine, ask):
+    ask("CREATE TABLE t (id INT, v TEXT); INSERT INTO t VALUES (1, 'a'), (2, 'b')")
+    ask("CREATE VIEW big AS SELECT id AS big, v FROM t WHERE id > 1")
+    assert ask("SELECT big FROM big") == [(2,)]
+    ask("CACHE TABLE t; INSERT INTO t VALUES (3, 'c')")
+    assert ask("SELECT big FROM big ORDER BY big") == [(2,), (3,)]
+    ask("UNCACHE TABLE t; DROP VIEW big")
+    assert ask("SHOW TABLES") == [("t",)]
+    with pytest.raises(ValueError):
+        ask("CREATE VIEW t AS SELECT 1")
+
+
+def test_functions_of_python(engine, ask):
+    engine.register("shout", lambda x: x.upper() + "!")
+    assert ask("SELECT shout('a')") == [("A!",)]
 
 
 def test_untouched_files_stay(engine):

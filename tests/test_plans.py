@@ -15,7 +15,7 @@ def plan(df):
     return out.getvalue()
 
 
-@pytest.mark.parametrize("name", ["topk", "vector_topk", "bm25_topk", "vector_topk_operator", "sort_alias", "filtered_knn"])
+@pytest.mark.parametrize("name", ["topk", "vector_topk", "bm25_topk", "bm25_indexed_topk", "vector_topk_operator", "sort_alias", "filtered_knn"])
 def test_limits_keep_k_rows_a_task(spark, sf, name):
     assert "TakeOrderedAndProject" in plan(suite.QUERIES[name](spark, sf))
 
@@ -34,8 +34,15 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
 def test_hot_paths_stay_in_the_jvm(spark, sf):
     for name, query in suite.QUERIES.items():
         text = plan(query(spark, sf))
-        assert "Python" not in text and "Arrow" not in text and "Pandas" not in text, name
+        assert not any(x in text for x in ("EvalPython", "InArrow", "InPandas", "PythonUDF")), name
 
 
 def test_search_shuffles_no_corpus(spark, sf):
     assert "Exchange hashpartitioning" not in plan(suite.QUERIES["bm25_topk"](spark, sf))
+
+
+def test_stored_postings_are_pruned_and_texts_not_read(spark, sf):
+    for name in ("fts_indexed_match", "bm25_indexed_topk"):
+        text = plan(suite.QUERIES[name](spark, sf))
+        assert "In(token, [onst,ther])" in text or "In(token, [ther,onst])" in text, name
+        assert "documents.parquet" not in text and "lower(" not in text, name
