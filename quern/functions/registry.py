@@ -25,7 +25,7 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     ),
     "fts_tokens": ("t STRING", "ARRAY<STRING>", _FTS),
     "bm25_tokens": ("t STRING", "ARRAY<STRING>", rf"filter(split(regexp_replace(lower({{0}}), '{_SIGN}', ''), '\\s+'), x -> x <> '')"),
-    "fts_match": ("t STRING, q STRING", "BOOLEAN", f"coalesce(size({_FTS_OF_1}) > 0 AND size(array_except({_FTS_OF_1}, {_FTS})) = 0, false)"),
+    "fts_match": ("t STRING, q STRING", "BOOLEAN", f"coalesce(size({_FTS_OF_1}) > 0 AND forall({_FTS_OF_1}, x -> contains(lower({{0}}), x)) AND size(array_except({_FTS_OF_1}, {_FTS})) = 0, false)"),
 }
 
 

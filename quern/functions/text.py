@@ -22,5 +22,6 @@ def bm25_tokens(text: Column) -> Column:
 
 def contains_all(text: Column, query: Column) -> Column:
     """Whether text holds every token of query; false for a null text and for a query without tokens."""
-    wanted = F.array_distinct(fts_tokens(query))
-    return F.coalesce((F.size(wanted) > 0) & (F.size(F.array_except(wanted, fts_tokens(text))) == 0), F.lit(False))
+    wanted, low = F.array_distinct(fts_tokens(query)), F.lower(text)
+    # a token is a piece of the text, so most texts are told apart before they are cut
+    return F.coalesce((F.size(wanted) > 0) & F.forall(wanted, lambda t: F.contains(low, t)) & (F.size(F.array_except(wanted, fts_tokens(text))) == 0), F.lit(False))
