@@ -143,10 +143,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: lis
 
     Lines are numbered among those that the canonical form leaves.
     """
-    form, line = private("form"), private("line")
-    lines = docs.select(F.col(doc_id).alias("doc_id"), canonical(F.col(text)).alias(form)).filter(F.col(form) != "")
-    units = F.concat(F.array(F.col(form)), F.split(F.col(form), "\n"))
-    units = lines.select("doc_id", F.posexplode(units).alias("line", line)).withColumn("digest", _digest(F.col(line)))
+    line = private("line")
+    # bound by a lambda, so that the canonical form is made once and not for the text, its lines and a filter
+    units = F.element_at(F.transform(F.array(canonical(F.col(text))), lambda f: F.concat(F.array(f), F.split(f, "\n"))), 1)
+    units = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(units).alias("line", line)).filter(F.col(line) != "").withColumn("digest", _digest(F.col(line)))
     digests = known_digests(docs, known)
     few = len(KNOWN if known is None else known) <= BROADCAST_KNOWN
     return units.join(F.broadcast(digests) if few else digests, "digest").select(

@@ -2,19 +2,20 @@
 
 Lines are normalised (trimmed, lower case, runs of white space as one space) and hashed
 together with their host; for every host the distinct documents that hold a line are counted;
-a line above the limit is removed from all documents of the host but the first; a document of
-which too little is left is rejected.
+a line above the limit is removed from all documents of the host, but for the first one unless
+keep_first is off; a document of which too little is left is rejected.
 
 Only hashes are shuffled, never texts: lines above the limit are few, so their sorted hashes
 are broadcast (up to BROADCAST_LINES, some 32 MB) and looked up by binary search; beyond that
 they are joined by shuffle.
 
 Defined results: rows with a null or blank text, or whose removal leaves only blanks, are
-rejected; blanks are spaces, tabs and line ends. A null host is a host of its own. Copies of one text count as one document, so that
-exact duplication alone never makes a text's lines boilerplate. The first document is the one
-of the smallest (doc_id, text digest), nulls last, so that what a host repeats is not lost
-from it altogether; copies of the first document count as first too. Blank lines stay. Other
-columns pass through unchanged, whatever their names; repeated rows are treated alike.
+rejected; blanks are spaces, tabs and line ends. A null host is a host of its own. Copies of one
+text count as one document, so that exact duplication alone never makes a text's lines
+boilerplate. The first document is the one of the smallest (doc_id, text digest), nulls last, so
+that what a host repeats is not lost from it altogether; copies of the first document count as
+first too. Blank lines stay. Other columns pass through unchanged, whatever their names; repeated
+rows are treated alike. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -97,6 +98,7 @@ def clean(
     doc_id: str = "doc_id",
     max_docs: int = 10,
     min_kept: float = 0.1,
+    keep_first: bool = True,
     broadcast_lines: int = BROADCAST_LINES,
 ) -> DataFrame:
     """docs with frequent lines removed from text and depleted documents rejected.
@@ -120,12 +122,14 @@ def clean(
             if len(known):
                 at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
                 sizes = np.diff(keys.offsets.to_numpy())
-                hits = (known[at] == flat) & ~null & (first[at] != np.repeat(own.to_numpy(zero_copy_only=False), sizes))
+                hits = (known[at] == flat) & ~null
+                if keep_first:
+                    hits &= first[at] != np.repeat(own.to_numpy(zero_copy_only=False), sizes)
             return _stripped(texts, keys, hits, min_kept)
 
         new = strip.asNondeterministic()(F.col(text), F.col(_KEYS), F.col(_DOC))
     else:
-        hits = _held(docs, host, text, doc_id).join(frequent, _HASH).filter(F.col(_FIRST) != F.col(_DOC)).groupBy(_ID, _DOC).agg(F.collect_set(_HASH).alias(_DROP))
+        hits = _held(docs, host, text, doc_id).join(frequent, _HASH).filter((F.col(_FIRST) != F.col(_DOC)) | F.lit(not keep_first)).groupBy(_ID, _DOC).agg(F.collect_set(_HASH).alias(_DROP))
         a, b = marked.alias("a"), hits.alias("b")
         marked = a.join(b, F.col(f"a.`{doc_id}`").eqNullSafe(F.col(f"b.{_ID}")) & (F.col(f"a.{_DOC}") == F.col(f"b.{_DOC}")), "left").select("a.*", f"b.{_DROP}")
 

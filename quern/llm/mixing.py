@@ -11,7 +11,8 @@ source that holds most of the corpus is spread over as many tasks as any other l
 Defined results: documents with no words take part with 0 tokens; a null text has no words. A
 null source is a source of its own. Rows that agree in doc_id and text stand at the same place
 and stay or go together. A document that would pass the budget ends the mix. Weights that are
-not positive drop the source.
+not positive drop the source. An empty table gives no rows. Extra columns play no part in plan()
+and pass through mix().
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import cut, fits, md5_key, private, word_count
 
 _SRC, _TOK, _KEY, _SLICE, _BEFORE, _W, _FIN = map(private, ("src", "tok", "key", "slice", "before", "w", "fin"))
-#: Slices of a source's shuffled order (by three hex digits of the key), and of the finish times.
-HEX, BINS = 3, 1 << 18
+#: Slices of a source's shuffled order (by three hex digits of the key), and of the finish times: equal ones, and so many for each doubling.
+HEX, BINS, OCTAVE = 3, 1 << 18, 8192
 
 
 def _source(source: str) -> Column:
@@ -59,6 +60,13 @@ def _finish(docs: DataFrame, weights: dict, default: float, seed: str, doc_id: s
     return summed.withColumn("finish", F.col("source_tokens").cast("double") / F.col(_W))
 
 
+def _bin(finish: Column, top: float | None) -> Column:
+    """A number that rises with the finish time. Equal bins part what is spread evenly, and those of logarithms what a source of tiny weight presses together near zero."""
+    even = F.floor(finish * F.lit(BINS / top if top else 0.0)).cast("long")
+    log = F.floor((F.log2(F.greatest(finish, F.lit(2.0**-60))) + 64) * OCTAVE).cast("long")
+    return F.shiftleft(even, 24) + F.least(log, F.lit((1 << 24) - 1))
+
+
 def plan(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -78,7 +86,7 @@ def plan(
     timed = cut(_finish(docs, weights or {}, default_weight, seed, doc_id, source, text))
     top, total = timed.agg(F.max("finish"), F.sum(_TOK)).first()
     limit = budget if budget is not None else int((total or 0) * (1.0 if budget_share is None else budget_share))
-    timed = timed.withColumn(_FIN, F.floor(F.col("finish") * F.lit(BINS / top if top else 0.0)))
+    timed = timed.withColumn(_FIN, _bin(F.col("finish"), top))
     mixed = _sliced_sum(timed, [], _FIN, ["finish", _SRC, _KEY], _TOK, "mix_tokens").filter(F.col("mix_tokens") <= limit)
     return mixed.select("doc_id", "source", F.col(_TOK).alias("n_tokens"), "source_tokens", "finish", "mix_tokens", F.col(_KEY).alias("key"), F.col(_SRC).alias("queue")).orderBy("finish", "queue", "key")
 

@@ -74,13 +74,14 @@ digests AS (SELECT doc_id, line, {plain.format('unit')} AS digest FROM units)
 SELECT doc_id, CASE WHEN line = 0 THEN 'text' ELSE 'line' END AS scope, line, license, digest FROM digests JOIN known USING (digest)"""
 
 
-def line_frequency_sql(max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT) -> str:
+def line_frequency_sql(max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT, keep_first: bool = True) -> str:
+    first = "f.first = l.text" if keep_first else "false"
     return f"""
 WITH parts AS (
   SELECT *, generate_subscripts(string_split(text, chr(10)), 1) AS nth, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
 lines AS (SELECT *, coalesce('=' || source, '') AS host, nullif(lower(trim(regexp_replace(line, '[\\t\\r ]+', ' ', 'g'))), '') AS norm, length(trim(line, ' ' || chr(9) || chr(13))) AS size FROM parts),
 frequent AS (SELECT host, norm, arg_min(text, doc_id) AS first FROM lines WHERE norm IS NOT NULL GROUP BY host, norm HAVING count(DISTINCT text) > {max_docs}),
-kept AS (SELECT l.*, f.first IS NULL OR f.first = l.text AS stays FROM lines l LEFT JOIN frequent f ON l.host = f.host AND l.norm = f.norm)
+kept AS (SELECT l.*, f.first IS NULL OR {first} AS stays FROM lines l LEFT JOIN frequent f ON l.host = f.host AND l.norm = f.norm)
 SELECT doc_id, string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE stays) AS text, any_value(lang) AS lang, any_value(source) AS source, any_value(n_chars) AS n_chars
 FROM kept GROUP BY doc_id
 HAVING coalesce(sum(size) FILTER (WHERE stays), 0) > 0 AND sum(size) FILTER (WHERE stays) >= sum(size) * {min_kept!r}"""

@@ -1,9 +1,12 @@
 """The pipeline against a plain version of its five stages."""
 
+import glob
 import hashlib
+import tempfile
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import pytest
 from test_near_copies import grouped
 from test_packing import brute
 
@@ -59,7 +62,23 @@ def test_stages_match_the_plain_version(spark, sf, texts, tmp_path):
         kept.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         assert sorted((r["doc_id"], r["text"], r["source"]) for r in docs.collect()) == sorted(rows), name
+    left = set(glob.glob(f"{tempfile.gettempdir()}/quern-pipeline/*"))
     packed = corpus_pipeline.run(spark, sf).collect()
+    assert set(glob.glob(f"{tempfile.gettempdir()}/quern-pipeline/*")) <= left
     assert sorted({r["bin_id"]: r["bin_tokens"] for r in packed if r["bin_id"] is not None}.values()) == brute([(d, len(t.split())) for d, t, _ in wanted[-1]], queries.CAPACITY)
     assert {r["doc_id"] for r in packed} == {d for d, _, _ in wanted[-1]}
     assert len(wanted[0]) > len(wanted[1]) > len(wanted[2]) > len(wanted[3])
+
+
+@pytest.mark.parametrize("kind", ["edges", "clashing", "empty"])
+def test_pipeline_bears_edge_cases(spark, request, tmp_path, kind):
+    docs = request.getfixturevalue(kind)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert packed.columns == ["bin_id", "pos", "doc_id", "start", "n_tokens", "bin_tokens"]
+    ids = [r["doc_id"] for r in packed.collect()]
+    if kind == "empty":
+        assert not ids
+    else:
+        # null and blank texts go, of copies and near copies the first stays, 7 is the long one; the budget leaves some out
+        assert set(ids) <= {1, 7, 10, 11, 12, 13} and len(set(ids)) >= 3

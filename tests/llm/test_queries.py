@@ -20,6 +20,23 @@ def test_low_line_limits(documents, duck, limit, broadcast):
     assert len(got[1]) < documents.count() or limit > 1
 
 
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_lines_go_from_the_first_document_too(documents, duck, broadcast):
+    got = rows_of(line_frequency.clean(documents, max_docs=1, min_kept=0.1, keep_first=False, broadcast_lines=broadcast))
+    assert got == duck_rows(duck, queries.line_frequency_sql(1, 0.1, False))
+    at = got[0].index("text")
+    assert sum(len(r[at]) for r in got[1]) < sum(len(r[at]) for r in rows_of(line_frequency.clean(documents, max_docs=1, min_kept=0.1))[1])
+
+
+def test_a_source_of_tiny_weight(documents, duck):
+    weights = {"src0": 1e-7, "src1": 3.0}
+    timed = mixing.plan(documents, weights, budget_share=1.0)
+    assert rows_of(timed) == duck_rows(duck, queries.mixing_sql(weights, 1.0))
+    top = timed.agg(F.max("finish")).first()[0]
+    rest = timed.filter("source <> 'src0'").select(mixing._bin(F.col("finish"), top).alias("b"), "finish")
+    assert rest.select("b").distinct().count() > rest.count() / 3
+
+
 @pytest.mark.parametrize("limit", [3_000, 50_000])
 def test_small_shards(documents, duck, limit):
     got = sharding.assign(documents, limit)
