@@ -7,8 +7,9 @@ from, so that a file that is gone is passed over without writing the segment ane
     rank    (token, doc, file, tf, dl)    bm25_tokens with their count and the document's length
     stats   (file, docs, tokens)          what the mean length is taken from
 
-Tables are cut by ranges of (token, doc), so a token that every document holds is many
-partitions and not one. A search takes segments as (path, files that are alive or None for all).
+A task writes the postings of the rows that it read, sorted by (token, doc), and nothing is
+shuffled: each text is cut once a table, a token that every document holds is spread as the rows
+are, and a search takes of each file the pages of its tokens, by the column index. A search takes segments as (path, files that are alive or None for all).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import bm25_tokens, fts_tokens
@@ -24,16 +25,29 @@ from quern.functions.text import bm25_tokens, fts_tokens
 Segment = tuple[str, Sequence[int] | None]
 
 
+def _counted(tokens: Column) -> Column:
+    """The distinct tokens in order, each with its count and the number of all: (token, tf, dl). Each array is bound once, as a lambda's variable."""
+
+    def runs(held: Column) -> Column:
+        starts = F.array_compact(F.transform(held, lambda x, i: F.when((i == 0) | (F.get(held, i - 1) != x), i)))
+        size = F.size(held)
+        each = lambda s: F.transform(s, lambda at, k: F.struct(F.get(held, at).alias("token"), (F.coalesce(F.get(s, k + 1), size) - at).alias("tf"), size.alias("dl")))
+        return F.flatten(F.transform(F.array(starts), each))
+
+    return F.flatten(F.transform(F.array(F.sort_array(tokens)), runs))
+
+
 def build(rows: DataFrame, doc: str, text: str, path: str, file: str | None = None) -> None:
     """Write a segment over rows; a null text is a document without tokens."""
     number = F.col(file) if file else F.lit(0)
     light = rows.select(F.col(doc).alias("doc"), number.cast("int").alias("file"), F.col(text).alias("text"))
     match = light.select(F.explode(F.array_distinct(fts_tokens(F.col("text")))).alias("token"), "doc", "file")
-    match.repartitionByRange("token", "doc").sortWithinPartitions("token", "doc").write.parquet(f"{path}/match")
-    cut = light.select("doc", "file", F.coalesce(bm25_tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    rank = cut.select("doc", "file", "dl", F.explode("tokens").alias("token")).groupBy("token", "doc", "file", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    rank.repartitionByRange("token", "doc").sortWithinPartitions("token", "doc").write.parquet(f"{path}/rank")
-    cut.groupBy("file").agg(F.count(F.lit(1)).alias("docs"), F.sum("dl").alias("tokens")).coalesce(1).write.parquet(f"{path}/stats")
+    match.sortWithinPartitions("token", "doc").write.parquet(f"{path}/match")
+    rank = light.select("doc", "file", F.explode(_counted(bm25_tokens(F.col("text")))).alias("x")).select("x.token", "doc", "file", "x.tf", "x.dl")
+    rank.sortWithinPartitions("token", "doc").write.parquet(f"{path}/rank")
+    held = rows.sparkSession.read.schema("file int, tf int").parquet(f"{path}/rank").groupBy("file").agg(F.sum("tf").alias("tokens"))
+    stats = light.groupBy("file").agg(F.count(F.lit(1)).alias("docs")).join(held, "file", "left")
+    stats.select("file", "docs", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")).coalesce(1).write.parquet(f"{path}/stats")
 
 
 def _read(spark: SparkSession, segments: Sequence[Segment], name: str, tokens: Sequence[str] | None = None) -> DataFrame:

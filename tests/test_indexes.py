@@ -98,3 +98,14 @@ def test_asof_join_by_brute_force(spark):
     got = joins.asof_join(spark.createDataFrame(left, "k int, t timestamp, a int"), spark.createDataFrame(right, "k int, t timestamp, b int"), ["k"], "t")
     best = lambda k, t: max(((u, b) for j, u, b in right if j == k and u and t and u <= t), default=(None, None))[1]
     assert sorted((x["a"], x["b"]) for x in got.collect()) == sorted((a, best(k, t)) for k, t, a in left)
+
+
+def test_index_keeps_the_counts_of_rows_that_share_an_id(spark, tmp_path):
+    """Postings are a row's own, as in the scan, and lie where the row was read: nothing is shuffled."""
+    rows = spark.createDataFrame([(1, "b a b"), (1, "b c b"), (2, None), (3, ""), (4, "b")], "doc_id long, text string").repartition(5).cache()
+    fts_index.build(rows, "doc_id", "text", f"{tmp_path}/s")
+    rank = spark.read.parquet(f"{tmp_path}/s/rank")
+    assert sorted(tuple(r) for r in rank.select("token", "doc", "tf", "dl").collect()) == [("a", 1, 1, 3), ("b", 1, 2, 3), ("b", 1, 2, 3), ("b", 4, 1, 1), ("c", 1, 1, 3)]
+    assert [(r["docs"], r["tokens"]) for r in spark.read.parquet(f"{tmp_path}/s/stats").collect()] == [(5, 7)]
+    got, wanted = (sorted(r["score"] for r in df.collect()) for df in (fts_index.bm25(spark, [(f"{tmp_path}/s", None)], {"b": 1}), search.bm25_search(rows, "doc_id", "text", "b")))
+    assert len(got) == 2 and sum(got) == pytest.approx(sum(wanted), abs=1e-5)
