@@ -109,3 +109,21 @@ def test_index_keeps_the_counts_of_rows_that_share_an_id(spark, tmp_path):
     assert [(r["docs"], r["tokens"]) for r in spark.read.parquet(f"{tmp_path}/s/stats").collect()] == [(5, 7)]
     got, wanted = (sorted(r["score"] for r in df.collect()) for df in (fts_index.bm25(spark, [(f"{tmp_path}/s", None)], {"b": 1}), search.bm25_search(rows, "doc_id", "text", "b")))
     assert len(got) == 2 and sum(got) == pytest.approx(sum(wanted), abs=1e-5)
+
+
+def test_files_that_changes_replace_are_not_indexed(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.sql("CREATE TABLE t (id INT, body TEXT); CREATE INDEX a ON t (body) USING FTS; INSERT INTO t VALUES (1, 'red fish'), (2, 'blue fish')")
+    e.sql("UPDATE t SET body = 'red bird' WHERE id = 2")
+    e.sql("DELETE FROM t WHERE id = 1")
+    assert e.metrics()["index_segments"] == 0
+    for _ in range(2):
+        assert [r[0] for r in e.sql("SELECT id FROM t WHERE MATCH(body) AGAINST ('red')").collect()] == [2]
+        assert e.metrics()["index_segments"] == 1
+    # another engine reads the segment that the search has committed
+    other = Engine(spark, str(tmp_path))
+    assert [r[0] for r in other.bm25_search("t", "body", "bird").collect()] == [2] and other.metrics()["index_segments"] == 0
+    e.sql("BEGIN; INSERT INTO t VALUES (3, 'red sun')")
+    assert sorted(r[0] for r in e.sql("SELECT id FROM t WHERE MATCH(body) AGAINST ('red')").collect()) == [2, 3]
+    e.sql("ROLLBACK")
+    assert [r[0] for r in e.sql("SELECT id FROM t WHERE MATCH(body) AGAINST ('red')").collect()] == [2]
